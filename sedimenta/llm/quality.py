@@ -124,4 +124,6 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str =
     """The rows of docs that pass, with exactly the columns of docs, whatever they are called."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
     judged = judge(packed, rules, id_col="row", text_col="text")
-    return judged.where("kept").select("doc_id.*")
+    # a row for each that is kept: a plain filter would be pushed below, with every metric written out in it again
+    passed = F.when(F.col("kept"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    return judged.select("doc_id", F.explode(passed)).select("doc_id.*")
