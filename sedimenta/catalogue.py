@@ -577,10 +577,10 @@ def stream_watermark_compaction(spark, d):
     return journal_stream.compaction(spark, j, _watermark(_journal(spark, d))).select("seq", "path", "type", "mtime_ns")
 
 
-@_query("SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL")
+@_query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL")
 def stream_windowed_levels(spark, d):
     e = journal_stream.source(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    return journal_stream.windowed_levels(spark, e).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return journal_stream.windowed_levels(spark, e).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
 def queries() -> dict:
