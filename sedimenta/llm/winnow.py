@@ -120,7 +120,7 @@ def _row(doc: _Doc, after: _Doc) -> tuple:
     return doc.doc_id, n, hashlib.sha256(text).hexdigest(), digest(doc.chosen), digest(chosen), likeness(doc.distinct, np.unique(chosen[1])), likeness(doc.distinct, after.distinct), len(doc.chosen[0])
 
 
-def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 12 << 20, max_buckets: int = 4096) -> DataFrame:
+def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 2 << 20, max_buckets: int = 4096) -> DataFrame:
     """Each document with its edited form (its last half replaced by the beginning of the next) and both fingerprints.
 
     Documents stand in descending doc_id, null last, rows of one id by text; after the last comes the first. Texts
