@@ -139,7 +139,8 @@ def _lagged(df: DataFrame) -> DataFrame:
     return df.withColumn("p", F.lag("b", 1, 0).over(Window.partitionBy("user_id").orderBy("event_id")))
 
 
-_UP = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _up():
+    return Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 @_query(f"WITH {_K}, {_LAG} SELECT event_id, ((b - p + 256) % 256)::BIGINT AS delta FROM L")
@@ -150,7 +151,7 @@ def delta_transform(spark, d):
 @_query(f"WITH {_K} SELECT event_id, b AS restored, true AS same FROM K")
 def delta_roundtrip(spark, d):
     coded = _lagged(_series(spark, d)).withColumn("delta", F.pmod(F.col("b") - F.col("p"), F.lit(256)))
-    back = F.pmod(F.sum("delta").over(_UP), F.lit(256))
+    back = F.pmod(F.sum("delta").over(_up()), F.lit(256))
     return coded.select("event_id", back.alias("restored"), (back == F.col("b")).alias("same"))
 
 
@@ -162,7 +163,7 @@ def xor_transform(spark, d):
 @_query(f"WITH {_K} SELECT event_id, b AS restored, true AS same FROM K")
 def xor_roundtrip(spark, d):
     coded = _lagged(_series(spark, d)).withColumn("x", F.col("b").bitwiseXOR(F.col("p")))
-    back = F.bit_xor("x").over(_UP)
+    back = F.bit_xor("x").over(_up())
     return coded.select("event_id", back.alias("restored"), (back == F.col("b")).alias("same"))
 
 
