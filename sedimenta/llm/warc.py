@@ -183,7 +183,11 @@ def derivatives(records: DataFrame) -> DataFrame:
     headers (refers-to, target, date and payload digest as in the source), block and the serialised record.
 
     Records of other types give nothing; null headers or blocks count as empty; repeated responses give repeated rows."""
-    schema = pa.schema([("source_id", pa.int64()), ("record_type", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary()), ("record", pa.binary())])
+    return _derived(records, [("headers", pa.map_(pa.string(), pa.string()), "map<string,string>"), ("block", pa.binary(), "binary"), ("record", pa.binary(), "binary")], lambda own, data: (own, data, serialise(own, data)))
+
+
+def _derived(records: DataFrame, columns: list[tuple], row) -> DataFrame:
+    schema = pa.schema([("source_id", pa.int64()), ("record_type", pa.string()), *((n, t) for n, t, _ in columns)])
 
     def run(batches):
         for batch in batches:
@@ -192,18 +196,23 @@ def derivatives(records: DataFrame) -> DataFrame:
                 for source_id, headers, block in zip(*(c.to_pylist() for c in part.columns)):
                     headers = dict(headers or {})
                     if headers.get("WARC-Type", "response") == "response":
-                        out += [(source_id, kind, own, data, serialise(own, data)) for kind, own, data in _derive(headers, block or b"")]
+                        out += [(source_id, kind, *row(own, data)) for kind, own, data in _derive(headers, block or b"")]
                 if out:
                     yield batch_of(schema, [list(c) for c in zip(*out)])
 
-    return records.select("source_id", "headers", "block").mapInArrow(run, "source_id bigint, record_type string, headers map<string,string>, block binary, record binary")
+    return records.select("source_id", "headers", "block").mapInArrow(run, "source_id bigint, record_type string, " + ", ".join(f"{n} {t}" for n, _, t in columns))
+
+
+# Columns of the report and the headers that they show.
+SHOWN = {"record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "target_uri": "WARC-Target-URI", "warc_date": "WARC-Date", "source_payload_digest": "WARC-Source-Payload-Digest", "block_digest": "WARC-Block-Digest", "content_type": "Content-Type"}
 
 
 def report(pages: DataFrame) -> DataFrame:
-    """Derivative records of pages: identifiers, source digests, and digests of the new blocks."""
-    d = derivatives(responses(pages))
-    h = lambda k: F.col("headers")[k]
-    return d.select(
-        F.col("source_id").alias("page_id"), "record_type", h("WARC-Record-ID").alias("record_id"), h("WARC-Refers-To").alias("refers_to"), h("WARC-Target-URI").alias("target_uri"), h("WARC-Date").alias("warc_date"),
-        h("WARC-Source-Payload-Digest").alias("source_payload_digest"), h("WARC-Block-Digest").alias("block_digest"), h("Content-Type").alias("content_type"), F.octet_length("block").cast("bigint").alias("content_length"), F.sha2("record", 256).alias("record_sha256"),
-    )
+    """Derivative records of pages: identifiers, source digests, and digests of the new records, which stay in Python."""
+
+    def row(own, data):
+        headers = dict(own)
+        return (*(headers.get(h) for h in SHOWN.values()), len(data), hashlib.sha256(serialise(own, data)).hexdigest())
+
+    columns = [*((n, pa.string(), "string") for n in SHOWN), ("content_length", pa.int64(), "bigint"), ("record_sha256", pa.string(), "string")]
+    return _derived(responses(pages), columns, row).withColumnRenamed("source_id", "page_id")
