@@ -22,7 +22,9 @@ DATE = "2024-01-01T00:00:00Z"
 # Elements whose content is no text, and elements that end a line.
 SILENT = ("script", "style", "noscript", "template", "svg", "iframe")
 BREAKS = frozenset("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th title tr ul".split())
-_name = re.compile(r"/?([a-zA-Z][a-zA-Z0-9]*)")
+LINKED = ("a", "link", "img", "meta")
+_tag = re.compile(r"<(?:(!--)|[!?][^>]*>?|(/?)([a-zA-Z][a-zA-Z0-9]*)([^>]*)>?)")
+_closers = {"!--": re.compile("-->")} | {name: re.compile(rf"</{name}[^>]*>", re.I) for name in SILENT}
 _attribute = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _blank = re.compile(r"[ \t\r\f\v\xa0]+")
 SOURCE_HEADERS = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "WARC-IP-Address", "WARC-Payload-Digest", "WARC-Block-Digest", "Content-Type", "Content-Length")
@@ -34,61 +36,44 @@ def digest(data: bytes) -> str:
 
 def scan_html(page: str) -> tuple[str, dict]:
     """The visible text, a line for each block, and title, metas and links. One pass; unclosed parts end with the page."""
-    lower = page.lower()
-    if len(lower) != len(page):  # some letters change length in lower case
-        lower = page.translate({c: c + 32 for c in range(65, 91)})
     text, at, n = [], 0, len(page)
-    title, metas, links, in_title = [], [], [], False
+    title, metas, links, into = [], [], [], text
     absent: set[str] = set()
 
-    def find(what: str, start: int) -> int:
-        if what in absent:
-            return -1
-        k = lower.find(what, start)
-        if k < 0:
+    def after(what: str, start: int) -> int:
+        """Where the text goes on behind the next `what`; what was searched in vain is not searched again."""
+        found = None if what in absent else _closers[what].search(page, start)
+        if found is None:
             absent.add(what)
-        return k
-
-    while at < n:
-        k = page.find("<", at)
-        if k < 0:
-            k = n
-        if k > at:
-            (title if in_title else text).append(page[at:k])
-        if k >= n:
-            break
-        if page.startswith("<!--", k):
-            end = find("-->", k + 4)
-            at = end + 3 if end >= 0 else n
+            return n
+        return found.end()
+
+    while m := _tag.search(page, at):
+        if m.start() > at:
+            into.append(page[at : m.start()])
+        at = m.end()
+        name = m[3]
+        if name is None:
+            if m[1]:
+                at = after("!--", at)
             continue
-        m = _name.match(page, k + 1)
-        if not m and page[k + 1 : k + 2] not in ("!", "?"):
-            text.append("<")
-            at = k + 1
-            continue
-        end = find(">", k + 1)
-        end = end if end >= 0 else n
-        tag = page[k + 1 : end]
-        at = end + 1
-        if not m:
-            continue
-        name, closing = m[1].lower(), tag.startswith("/")
+        name, closing, rest = name.lower(), m[2], m[4]
         if name == "title":
-            in_title = not closing
+            into = text if closing else title
         if not closing:
-            if name in SILENT and not tag.endswith("/"):
-                end = find(f"</{name}", at)
-                close = page.find(">", end) if end >= 0 else -1
-                at = close + 1 if close >= 0 else n
+            if name in SILENT:
+                if not rest.endswith("/"):
+                    at = after(name, at)
                 continue
-            if name in ("a", "link", "img", "meta"):
-                found = {x[0].lower(): html.unescape(x[1] or x[2] or x[3]) for x in _attribute.findall(tag)}
+            if name in LINKED:
+                found = {x[0].lower(): html.unescape(x[1] or x[2] or x[3]) for x in _attribute.findall(rest)}
                 if name == "meta":
                     metas.append(found)
                 elif link := found.get("src" if name == "img" else "href"):
                     links.append({"path": f"{name.upper()}@/{'src' if name == 'img' else 'href'}", "url": link})
         if name in BREAKS:
             text.append("\n")
+    into.append(page[at:])
     body = html.unescape("".join(text))
     lines = [_blank.sub(" ", s).strip() for s in body.split("\n")]
     return "\n".join(s for s in lines if s), {"Title": _blank.sub(" ", html.unescape("".join(title))).strip(), "Metas": metas, "Links": links}
@@ -121,6 +106,15 @@ def _record_id(*names: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(0).join(names))}>"
 
 
+def _response(page_id, url: str | None, page: str | None, date: str = DATE) -> tuple[dict[str, str], bytes]:
+    body = (page or "").encode()
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body
+    payload = digest(body)
+    headers = {"WARC-Type": "response", "WARC-Record-ID": _record_id("response", str(page_id), url or "", payload), "WARC-Date": date}
+    headers |= {"WARC-Target-URI": url} if url is not None else {}
+    return headers | {"WARC-Payload-Digest": payload, "WARC-Block-Digest": digest(block), "Content-Type": "application/http; msgtype=response", "Content-Length": str(len(block))}, block
+
+
 def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = DATE) -> DataFrame:
     """Response records of crawled pages: source_id, WARC headers as a map, and the block (HTTP head and body).
 
@@ -132,11 +126,7 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             for part in in_slices(batch):
                 out = []
                 for page_id, url, page in zip(*(c.to_pylist() for c in part.columns)):
-                    body = (page or "").encode()
-                    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body
-                    headers = {"WARC-Type": "response", "WARC-Record-ID": _record_id("response", str(page_id), url or "", digest(body)), "WARC-Date": date}
-                    headers |= {"WARC-Target-URI": url} if url is not None else {}
-                    headers |= {"WARC-Payload-Digest": digest(body), "WARC-Block-Digest": digest(block), "Content-Type": "application/http; msgtype=response", "Content-Length": str(len(block))}
+                    headers, block = _response(page_id, url, page, date)
                     out.append((page_id, list(headers.items()), block))
                 if out:
                     yield batch_of(schema, [list(c) for c in zip(*out)])
@@ -183,24 +173,28 @@ def derivatives(records: DataFrame) -> DataFrame:
     headers (refers-to, target, date and payload digest as in the source), block and the serialised record.
 
     Records of other types give nothing; null headers or blocks count as empty; repeated responses give repeated rows."""
-    return _derived(records, [("headers", pa.map_(pa.string(), pa.string()), "map<string,string>"), ("block", pa.binary(), "binary"), ("record", pa.binary(), "binary")], lambda own, data: (own, data, serialise(own, data)))
-
-
-def _derived(records: DataFrame, columns: list[tuple], row) -> DataFrame:
+    schema, spec = _schema([("headers", pa.map_(pa.string(), pa.string()), "map<string,string>"), ("block", pa.binary(), "binary"), ("record", pa.binary(), "binary")])
+    given = lambda _, headers, block: (dict(headers or {}), block or b"")
+    made = lambda own, data: (own, data, serialise(own, data))
+    return records.select("source_id", "headers", "block").mapInArrow(lambda batches: _rows(batches, schema, given, made), spec)
+
+
+def _rows(batches, schema: pa.Schema, response, row):
+    """What `row` makes of the derivatives of each record that `response` makes of a row."""
+    for batch in batches:
+        for part in in_slices(batch, 4 << 20):
+            out = []
+            for source_id, *given in zip(*(c.to_pylist() for c in part.columns)):
+                headers, block = response(source_id, *given)
+                if headers.get("WARC-Type", "response") == "response":
+                    out += [(source_id, kind, *row(own, data)) for kind, own, data in _derive(headers, block)]
+            if out:
+                yield batch_of(schema, [list(c) for c in zip(*out)])
+
+
+def _schema(columns) -> tuple[pa.Schema, str]:
     schema = pa.schema([("source_id", pa.int64()), ("record_type", pa.string()), *((n, t) for n, t, _ in columns)])
-
-    def run(batches):
-        for batch in batches:
-            for part in in_slices(batch, 4 << 20):
-                out = []
-                for source_id, headers, block in zip(*(c.to_pylist() for c in part.columns)):
-                    headers = dict(headers or {})
-                    if headers.get("WARC-Type", "response") == "response":
-                        out += [(source_id, kind, *row(own, data)) for kind, own, data in _derive(headers, block or b"")]
-                if out:
-                    yield batch_of(schema, [list(c) for c in zip(*out)])
-
-    return records.select("source_id", "headers", "block").mapInArrow(run, "source_id bigint, record_type string, " + ", ".join(f"{n} {t}" for n, _, t in columns))
+    return schema, "source_id bigint, record_type string, " + ", ".join(f"{n} {t}" for n, _, t in columns)
 
 
 # Columns of the report and the headers that they show.
@@ -208,11 +202,14 @@ SHOWN = {"record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "target_u
 
 
 def report(pages: DataFrame) -> DataFrame:
-    """Derivative records of pages: identifiers, source digests, and digests of the new records, which stay in Python."""
+    """Derivative records of pages: identifiers, source digests, and digests of the new records. Responses are made and
+    converted in one pass, as responses() and derivatives() do one after the other."""
 
     def row(own, data):
         headers = dict(own)
         return (*(headers.get(h) for h in SHOWN.values()), len(data), hashlib.sha256(serialise(own, data)).hexdigest())
 
     columns = [*((n, pa.string(), "string") for n in SHOWN), ("content_length", pa.int64(), "bigint"), ("record_sha256", pa.string(), "string")]
-    return _derived(responses(pages), columns, row).withColumnRenamed("source_id", "page_id")
+    schema, spec = _schema(columns)
+    made = pages.select("page_id", "url", "html").mapInArrow(lambda batches: _rows(batches, schema, _response, row), spec)
+    return made.withColumnRenamed("source_id", "page_id")
