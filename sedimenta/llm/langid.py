@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,7 +20,7 @@ CENTROIDS = 3
 #: Share of the sample beyond a centroid's distance limit: farther texts are rejected.
 REJECT_SHARE = 0.005
 UNKNOWN = "und"
-_letter = re.compile(r"[^\W\d_]")
+_letter = regex.compile(r"\p{L}")
 
 
 def _classes() -> np.ndarray:
