@@ -59,6 +59,22 @@ def token_counts(learn: DataFrame) -> DataFrame:
     return learn.mapInArrow(run, "token binary, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
 
 
+def head_tokens(counts: DataFrame, limit: int = HEAD_TOKENS) -> list[tuple[bytes, int]]:
+    """The commonest tokens, commonest first: as many whole bins of counts (a 64th of a doubling each) as hold at most
+    `limit` tokens. Bins are counted first, as a limit after a sort would bring each task's first rows to the driver."""
+    short = counts.where(F.octet_length("token") <= HEAD_BYTES).withColumn("bin", F.floor(F.log2("n") * 64).cast("int"))
+    held, least = 0, None
+    for r in sorted(short.groupBy("bin").count().collect(), key=lambda r: -r["bin"]):
+        held += r["count"]
+        if held > limit:
+            break
+        least = r["bin"]
+    if least is None:
+        return []
+    rows = short.where(F.col("bin") >= least).select("token", "n").collect()
+    return sorted(((bytes(r.token), r.n) for r in rows), key=lambda t: (-t[1], t[0]))
+
+
 class Vocabulary:
     """What executors need of the counts: the head's counts, the model's ids, output classes, unigram start."""
 
@@ -324,8 +340,8 @@ def fit(learn: DataFrame, rounds: int = ROUNDS):
     """(counts of all tokens, broadcast vocabulary, weights) from learn(doc_id, text)."""
     counts = checkpoint(token_counts(learn))
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    head = counts.where(F.octet_length("token") <= HEAD_BYTES).orderBy(F.desc("n"), "token").limit(HEAD_TOKENS).collect()  # at most HEAD_TOKENS x HEAD_BYTES
-    v = Vocabulary([(bytes(r.token), r.n) for r in head], total.n or 0, total.v)
+    head = head_tokens(counts)  # at most HEAD_TOKENS x HEAD_BYTES
+    v = Vocabulary(head, total.n or 0, total.v)
     shared = learn.sparkSession.sparkContext.broadcast(v)
     weights = start_weights(v)
     if total.n:

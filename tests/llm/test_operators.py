@@ -320,3 +320,20 @@ def test_empty_tables(empty):
     for f in (lm_scoring.score_documents, line_dedup.report, quality.judge, quality.keep_good, substring.removed_words, winnow.edited_likeness, simhash.near_duplicates, simhash.keep_one, langid.identify, line_dedup.dedup_lines):
         assert f(empty).collect() == [], f
     assert bpe.digest_documents(empty, BPE).collect() == []
+
+
+def test_head_tokens_are_whole_bins(spark):
+    from sedimenta.llm.lm_scoring import head_tokens
+
+    counts = spark.createDataFrame([(b"a", 9), (b"b", 5), (b"c", 5), (b"d", 1), (b"e", 1), (b"x" * 65, 70)], "token binary, n bigint")
+    assert head_tokens(counts) == [(b"a", 9), (b"b", 5), (b"c", 5), (b"d", 1), (b"e", 1)]
+    assert head_tokens(counts, 4) == [(b"a", 9), (b"b", 5), (b"c", 5)]
+    assert head_tokens(counts, 2) == [(b"a", 9)]
+    assert head_tokens(counts, 0) == head_tokens(counts.limit(0)) == []
+
+
+def test_numbers_that_are_no_letters(spark):
+    from sedimenta.llm import langid
+
+    docs = spark.createDataFrame([(k, "the of and to in", "en") for k in range(20)] + [(100, "² ½ Ⅷ 12", "en")], "doc_id bigint, text string, lang string")
+    assert langid.identify(docs).where("doc_id = 100").first().lang_pred == "und"
