@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from .functions import bytesops as B
 from .functions import codec, paths
 from .operators import checks, journal as J, search, store, telemetry
+from .plans import benchmarks
+from .sources import folders, packed
 from .streaming import journal_stream
 
 CHUNK = 512
@@ -305,7 +307,10 @@ def savings_summary(spark, d):
     return s.withColumn("savings", F.round(B.savings(F.col("original"), F.col("estimated")), 6))
 
 
-@_query(f"""WITH {_FILES}, R AS (SELECT doc_id, sha256(concat_ws('|', doc_id::VARCHAR, path, size::VARCHAR)) AS r FROM FILES) SELECT sha256(string_agg(r, '' ORDER BY doc_id)) AS table_hash FROM R""")
+@_query(f"""WITH {_FILES}, R AS (SELECT doc_id, sha256(concat_ws('|', doc_id::VARCHAR, path, size::VARCHAR)) AS r FROM FILES),
+R1 AS (SELECT doc_id // 4096 AS o, sha256(string_agg(r, '' ORDER BY doc_id)) AS r FROM R GROUP BY ALL),
+R2 AS (SELECT o // 4096 AS o, sha256(string_agg(r, '' ORDER BY o)) AS r FROM R1 GROUP BY R1.o // 4096)
+SELECT sha256(string_agg(r, '' ORDER BY o)) AS table_hash FROM R2""")
 def manifest(spark, d):
     return store.manifest_hash(doc_files(_read(spark, d, "documents")), "doc_id", ["doc_id", "path", "size"])
 
@@ -444,7 +449,8 @@ def label_centroid(spark, d):
 
 _JD = f"{_J}, JD AS (SELECT *, CASE WHEN type = 4 THEN seq % 7 ELSE size - (seq % 3 = 0)::INT END AS data_len FROM J)"
 _VIO = """VIO AS (SELECT seq, path, 'delete with data' AS rule FROM JD WHERE type = 4 AND data_len > 0
-UNION ALL SELECT seq, path, 'delete with size' FROM JD WHERE type = 4 AND size <> 0 UNION ALL SELECT seq, path, 'symlink size' FROM JD WHERE type = 2 AND data_len <> size)"""
+UNION ALL SELECT seq, path, 'delete with size' FROM JD WHERE type = 4 AND size <> 0 UNION ALL SELECT seq, path, 'directory with data' FROM JD WHERE type = 3 AND data_len > 0 UNION ALL SELECT seq, path, 'directory with size' FROM JD WHERE type = 3 AND size <> 0
+UNION ALL SELECT seq, path, 'symlink size' FROM JD WHERE type = 2 AND data_len <> size)"""
 
 
 def _journal_with_data(spark, d) -> DataFrame:
@@ -531,8 +537,15 @@ def permutation_rank_roundtrip(spark, d):
     return spark.range(1, 65).withColumnRenamed("id", "n").mapInPandas(check, "n bigint, same boolean")
 
 
+def _coded_input(spark, d) -> DataFrame:
+    """The labels, 64 consecutive ids a file, in chunks."""
+    lines = _read(spark, d, "labels").select("doc_id", F.concat_ws(",", "doc_id", "quality", "toxic").alias("text"))
+    files = lines.groupBy(F.floor(F.col("doc_id") / 64).alias("file_id")).agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("text"))
+    return store.chunk_data(files, "file_id", _text(), 4096)
+
+
 def _coded(spark, d) -> DataFrame:
-    chunks = store.chunk_data(_read(spark, d, "labels").select(F.col("doc_id"), F.concat_ws(",", "doc_id", "quality", "toxic").alias("text")).groupBy((F.col("doc_id") % 64).alias("file_id")).agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("text")), "file_id", _text(), 4096)
+    chunks = _coded_input(spark, d)
     coded = chunks.withColumn("c", codec.encode_udf("delta")("data", "file_id", "chunk_index"))
     return coded.select("file_id", "chunk_index", "raw_size", "data", "c.*")
 
@@ -558,6 +571,66 @@ def verify_container(spark, d):
     return stored.withColumn("back", back).where(F.crc32("back") != F.col("crc32")).select("file_id", "chunk_index")
 
 
+@_query()
+def codec_variants(spark, d):
+    """The codec's variants: equal after decoding, size, ratio and seconds."""
+    return benchmarks.compare(_coded_input(spark, d), list(benchmarks.OWN))
+
+
+@_query()
+def codec_tools(spark, d):
+    """The codec beside general compressors over the same chunks."""
+    return benchmarks.compare(_coded_input(spark, d), [*benchmarks.TOOLS, "norank+delta"])
+
+
+@_query(f"""WITH {_BYTES}, {_ENT}, Z AS (SELECT n_bytes, ceil(round(n_bytes * entropy / 8, 9))::BIGINT AS stored FROM E),
+V AS (SELECT * FROM (VALUES (0), (256), (1024)) a(min_size), (VALUES (1), (100)) b(sync_every), (VALUES (0), (64)) c(min_gain)),
+S AS (SELECT min_size, sync_every, min_gain, count(*) AS records, sum((n_bytes >= min_size AND stored + min_gain < n_bytes)::INT) AS c, sum(n_bytes) AS r,
+  sum(CASE WHEN n_bytes >= min_size AND stored + min_gain < n_bytes THEN stored ELSE n_bytes END) AS s FROM Z, V GROUP BY ALL)
+SELECT min_size::INT AS min_size, sync_every::INT AS sync_every, min_gain::INT AS min_gain, records::BIGINT AS records, c::BIGINT AS compressed_records, r::BIGINT AS bytes_raw, s::BIGINT AS bytes_stored,
+  ceil(records / sync_every)::BIGINT AS fsyncs, round(coalesce(s / nullif(r, 0), 0), 6) AS ratio FROM S""")
+def journal_sweep(spark, d):
+    e = B.entropy(_read(spark, d, "documents"), "doc_id", _text()).where("n_bytes > 0")
+    stored = F.ceil(F.round(F.col("n_bytes") * F.col("entropy") / 8, 9))
+    return benchmarks.journal_sweep(e, F.col("n_bytes"), stored, (0, 256, 1024), (1, 100), (0, 64))
+
+
+_HEX = "H AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents)"
+
+
+@_query(f"WITH {_HEX} SELECT doc_id, sha256(unhex(rpad(substr(h, 1, 2000), 2000, '0'))) AS truncated_sha256, sha256(unhex(rpad(substr(h, 1, 1000), 1000, '0') || '00FF41' || substr(h, 1007))) AS written_sha256 FROM H")
+def truncate_and_write(spark, d):
+    """Every file cut or extended to 1,000 bytes, and with three bytes written at 500."""
+    t = _text()
+    cut, patched = store.truncated(t, F.lit(1000)), store.written(t, F.lit(500), F.lit(b"\x00\xffA"))
+    return _read(spark, d, "documents").select("doc_id", F.sha2(cut, 256).alias("truncated_sha256"), F.sha2(patched, 256).alias("written_sha256"))
+
+
+@_query(f"WITH {_FILES} SELECT doc_id, size, (sum(size) OVER (ORDER BY doc_id) - size)::BIGINT AS blob_offset FROM FILES")
+def blob_append(spark, d):
+    """Where each file lands in a blob."""
+    return folders.blob_offsets(doc_files(_read(spark, d, "documents")).select("doc_id", "size"), F.col("size"), ["doc_id"])
+
+
+@_query("SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS size, 'payload cannot be decoded' AS rule FROM documents WHERE doc_id % 7 = 0 UNION ALL SELECT doc_id, strlen(coalesce(text, ''))::BIGINT, 'payload size' FROM documents WHERE doc_id % 7 = 1")
+def fsck_deep(spark, d):
+    """Deep checks of a journal of all documents as raw streams, some of them cut or with a wrong size."""
+    damage, size = F.col("doc_id") % 7, F.octet_length(_text()).cast("bigint")
+    raw = F.concat(F.lit(packed.pack(b"", 1 << 20, force_raw=True)), _text())
+    j = _read(spark, d, "documents").select(
+        F.col("doc_id").alias("seq"),
+        F.col("doc_id").cast("string").alias("path"),
+        F.lit(J.FILE).alias("type"),
+        F.lit(J.COMPRESSED).alias("flags"),
+        F.when(damage == 1, size + 1).otherwise(size).alias("size"),
+        F.when(damage == 0, F.substring(raw, 1, 9)).otherwise(raw).alias("data"),
+    )
+    back = F.when(damage == 1, F.col("size") - 1).otherwise(F.col("size"))
+    sizes = j.select(F.col("seq").alias("doc_id"), "size").select("doc_id", back.alias("size"))
+    bad = checks.deep_violations(j).select(F.col("seq").alias("doc_id"), "rule")
+    return bad.join(sizes, "doc_id")
+
+
 @_query()
 def chunk_state(spark, d):
     return spark.range(1000).select(F.col("id").alias("file_id"), B.chunk_state(codec.SEED, F.col("id"), F.lit(3).cast("bigint")).alias("state"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import paths
-from .journal import COMMIT, DELETE, EXTENT, SYMLINK
+from ..sources.packed import unpacked
+from .journal import COMMIT, COMPRESSED, DELETE, DIRECTORY, EXTENT, FILE, SYMLINK, has_flag
 
 
 def violations(journal: DataFrame, extent_payload: int = 24) -> DataFrame:
@@ -17,6 +18,8 @@ def violations(journal: DataFrame, extent_payload: int = 24) -> DataFrame:
         (~paths.is_safe(F.col("path")), "unsafe path"),
         ((kind == DELETE) & (data > 0), "delete with data"),
         ((kind == DELETE) & (size != 0), "delete with size"),
+        ((kind == DIRECTORY) & (data > 0), "directory with data"),
+        ((kind == DIRECTORY) & (size != 0), "directory with size"),
         ((kind == COMMIT) & (data > 0), "commit with data"),
         ((kind == EXTENT) & (data != extent_payload), "extent payload"),
         ((kind == SYMLINK) & (data != size), "symlink size"),
@@ -26,6 +29,30 @@ def violations(journal: DataFrame, extent_payload: int = 24) -> DataFrame:
     return journal.select("seq", "path", F.explode(broken).alias("rule"))
 
 
+def deep_violations(journal: DataFrame, blob_size: int | None = None) -> DataFrame:
+    """(seq, path, rule) of what only the payloads show. journal has data. Compressed payloads are decoded, an error
+    being that row's alone; extents are held against the blob's size."""
+    kind, squeezed = F.col("type"), has_flag(COMPRESSED) & F.col("type").isin(FILE, SYMLINK)
+    opened = journal.withColumn("deep", F.when(squeezed, unpacked(F.when(squeezed, F.col("data")))))
+    real = F.octet_length(F.when(squeezed, F.col("deep.data")).otherwise(F.coalesce("data", F.lit(b""))))
+    part = lambda k: _little_endian(F.substring("data", 8 * k + 1, 8))
+    whole = (kind == EXTENT) & (F.octet_length("data") == 24)
+    rules = [
+        (squeezed & F.col("deep.error").isNotNull(), "payload cannot be decoded"),
+        (kind.isin(FILE, SYMLINK) & (real != F.col("size")), "payload size"),
+        (whole & F.lit(blob_size is None), "extent without blob"),
+        (whole & (part(1) + part(2) > F.lit(blob_size or 0)) & F.lit(blob_size is not None), "extent beyond blob"),
+    ]
+    broken = F.array_compact(F.array(*[F.when(test, F.lit(name)) for test, name in rules]))
+    return opened.select("seq", "path", F.explode(broken).alias("rule"))
+
+
+def _little_endian(data: Column) -> Column:
+    """Eight bytes as an unsigned number, least first."""
+    h = F.hex(data)
+    return F.conv(F.concat(*[F.substring(h, 2 * k - 1, 2) for k in range(8, 0, -1)]), 16, 10).cast("decimal(20,0)")
+
+
 def repair(journal: DataFrame) -> DataFrame:
     """(kept, dropped): records without and with violations."""
     bad = violations(journal).select("seq").distinct().withColumn("bad", F.lit(1))

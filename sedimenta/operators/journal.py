@@ -117,5 +117,5 @@ def increment(journal: DataFrame, watermark: int) -> DataFrame:
     return since(journal, watermark).agg(F.count("*").alias("applied"), F.coalesce(F.max("mtime_ns"), F.lit(watermark)).alias("watermark"), F.coalesce(F.sum("seq"), F.lit(0)).alias("seq_sum"))
 
 
-def keep_compressed(raw: Column, stored: Column, min_size: int, min_gain: int) -> Column:
+def keep_compressed(raw: Column, stored: Column, min_size: int | Column, min_gain: int | Column) -> Column:
     return (raw >= min_size) & (stored + min_gain < raw)
