@@ -105,6 +105,7 @@ def deletions(table: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     long = F.filter(F.arrays_zip("lines", "words"), lambda x: x["words"] >= min_words)
     each = table.select("k", "h", F.explode(F.array_distinct(F.transform(long, lambda x: x["lines"]))).alias("line"))
     first = each.groupBy("line").agg(F.min(F.struct("k", "h")).alias("first"), F.count("*").alias("df")).where("df > 1").select("line", F.col("first.k").alias("fk"), F.col("first.h").alias("fh"))
+    first = checkpoint(first)  # read again, it is shuffled like the other side, so the skew join can split a line
     pairs = each.join(first, "line").where("k > fk").groupBy("k", "h", "fk", "fh").count().drop("count")
     earlier = table.select(F.col("k").alias("fk"), F.col("h").alias("fh"), F.col("lines").alias("other"))
     both = pairs.join(earlier, ["fk", "fh"]).join(table, ["k", "h"]).select("k", "h", "n", "at", "words", "lines", "other")
