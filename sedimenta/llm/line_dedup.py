@@ -100,8 +100,9 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def deletions(table: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(k, h, gone): one byte for each line of a document, 1 where it is deleted; documents without deletions are absent."""
-    table = table.dropDuplicates(["k", "h"])
+    """(k, h, gone): one byte for each line of a document, 1 where it is deleted; documents without deletions are absent.
+
+    table has each (k, h) once and is written out: its joins then shuffle both sides, so hot holders can be split."""
     long = F.filter(F.arrays_zip("lines", "words"), lambda x: x["words"] >= min_words)
     each = table.select("k", "h", F.explode(F.array_distinct(F.transform(long, lambda x: x["lines"]))).alias("line"))
     first = each.groupBy("line").agg(F.min(F.struct("k", "h")).alias("first"), F.count("*").alias("df")).where("df > 1").select("line", F.col("first.k").alias("fk"), F.col("first.h").alias("fh"))
@@ -136,7 +137,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The later document is that of larger id, null last. Rows repeated in id (and rows of one id with different texts)
     don't delete each other's lines. A null text stays null, an empty table empty; all other columns stay as they are."""
-    gone = deletions(checkpoint(line_table(docs, id_col, text_col)), min_words).select(F.col("k").alias("__llm_k"), F.col("h").alias("__llm_h"), F.col("gone").alias("__llm_gone"))
+    gone = deletions(checkpoint(line_table(docs, id_col, text_col).dropDuplicates(["k", "h"])), min_words).select(F.col("k").alias("__llm_k"), F.col("h").alias("__llm_h"), F.col("gone").alias("__llm_gone"))
     marked = docs.withColumn("__llm_own_k", F.coalesce(F.col(id_col), F.lit(LAST))).withColumn("__llm_own_h", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     joined = marked.join(gone, (F.col("__llm_own_k") == F.col("__llm_k")) & (F.col("__llm_own_h") == F.col("__llm_h")), "left")
     lines = F.split(F.col(text_col), "\n", -1)
