@@ -9,8 +9,9 @@ from .common import checkpoint
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
-    """Each edge u-v with the least neighbour of u (or u itself) as m. A hot u is split by the skew join."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    """Each edge u-v with the least neighbour of u (or u itself) as m. The least ones are written out: both sides of the
+    join are then shuffled, without which the skew join can't split a hot u."""
+    least = checkpoint(edges.groupBy("u").agg(F.min("v").alias("m")))
     return edges.join(least, "u").select("u", "v", F.least("u", "m").alias("m"))
 
 

@@ -297,7 +297,7 @@ def group(rows: DataFrame, radius: int, wide_radius: int | None = None, sizes: t
     plan = choose_plan(fps, radius, sizes)
     joined = components(links(fps, plan, radius, wide_radius))
     classes = fps.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "least_id")
-    least = classes.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    least = checkpoint(classes.groupBy("component").agg(F.min("least_id").alias("component_id")))  # so that a hot component can be split
     by_node = classes.join(least, "component").select("node", "component_id")
     return rows.join(by_node, "node").drop("node")
 
