@@ -12,7 +12,6 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +28,8 @@ STEPS = 24
 TRAIN_LANES = 32
 SCORE_LANES = 320
 SCORE_STEPS = 96
-ROUNDS = 2
-#: Share of each learning document's tokens, in one run at a place set by a hash, that a training round takes.
-TRAIN_SHARE = 1 / 16
+#: Each takes every token of every learning document.
+ROUNDS = 1
 RATE = 0.15
 
 
@@ -291,8 +289,9 @@ def _model_ids(v: Vocabulary, text: bytes) -> np.ndarray:
     return np.minimum(np.concatenate(([v.ids.get(END, v.m)], v.ids_of(tokens_of(text)))), v.m)
 
 
-def train_round(learn: DataFrame, shared, weights: Weights, number: int) -> Weights:
-    """Each part of the input trains a copy; the copies are averaged by their tokens, in blocks of 4,096 weights."""
+def train_round(learn: DataFrame, shared, weights: Weights) -> Weights:
+    """Each part of the input trains a copy on all tokens of its documents, the state carried through a document's
+    windows; the copies are averaged by their tokens, in blocks of 4,096 weights."""
     sent = learn.sparkSession.sparkContext.broadcast(weights)
     block = 4096
     schema = pa.schema([("block", pa.int32()), ("n", pa.int64()), ("w", pa.binary())])
@@ -302,13 +301,7 @@ def train_round(learn: DataFrame, shared, weights: Weights, number: int) -> Weig
         v, sequences = shared.value, []
         for batch in batches:
             for part in in_slices(batch):
-                for text in byte_column(part.column(1)):
-                    tokens = text.lower().split()
-                    size = max(1, int(len(tokens) * TRAIN_SHARE))
-                    at = xxhash.xxh3_64_intdigest(text, number) % (len(tokens) - size + 1) if tokens else 0
-                    some = [*tokens[at : at + size], END] if at + size >= len(tokens) else tokens[at : at + size]
-                    before = tokens[at - 1] if at else END
-                    sequences.append(np.minimum(v.ids_of([before, *some]), v.m))
+                sequences += [_model_ids(v, text).astype(np.int32) for text in byte_column(part.column(1))]
         if sequences:
             w, n = train(sent.value, v, sequences)
             flat = _pack(w).astype("<f4")
@@ -345,8 +338,8 @@ def fit(learn: DataFrame, rounds: int = ROUNDS):
     shared = learn.sparkSession.sparkContext.broadcast(v)
     weights = start_weights(v)
     if total.n:
-        for number in range(rounds):
-            weights = train_round(learn, shared, weights, number)
+        for _ in range(rounds):
+            weights = train_round(learn, shared, weights)
     return counts, shared, weights
 
 

@@ -277,6 +277,21 @@ def test_lm_scoring(docs, rows, monkeypatch):
         assert r.base_score == pytest.approx(want[4]) and r.score < 0
 
 
+def test_lm_trains_on_every_token(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices("abcdefgh", k=n)) for n in (0, 1, 3, 40, 200, 900)]
+    c = Counter(t for x in texts for t in lm_scoring.tokens_of(x.encode()))
+    v = lm_scoring.Vocabulary(sorted(c.items(), key=lambda t: (-t[1], t[0])), sum(c.values()), len(c))
+    learn = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    start = lm_scoring.start_weights(v)
+    got = lm_scoring.fit(learn)[2]
+    want = start
+    for _ in range(lm_scoring.ROUNDS):
+        want, seen = lm_scoring.train(want, v, [lm_scoring._model_ids(v, x.encode()) for x in texts])
+        assert seen == sum(c.values())
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-5) for k in want)
+
+
 def test_lm_distribution_sums_to_one():
     v = lm_scoring.Vocabulary([(b"a", 50), (b"b", 20), (b"", 10), (b"c", 1)], 90, 9)
     w = {k: x + np.float32(0.1) for k, x in lm_scoring.start_weights(v).items()}
