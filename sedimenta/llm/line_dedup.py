@@ -1,8 +1,8 @@
-"""Line dedup by pairwise alignment: documents that share a line hash are paired, aligned by patience diff, and the
-aligned common blocks are deleted from the later document.
+"""Line dedup by pairwise alignment: documents that share the hash of a run of lines are paired, aligned by patience
+diff, and the aligned common blocks are deleted from the later document.
 
-Every line shared by several documents pairs each later one with the first that has the line, so a line of any number
-of documents gives one pair for each, never all pairs, and every shared line keeps its first holder.
+Every run shared by several documents pairs each later one with the first that has the run, so a run of any number
+of documents gives one pair for each, never all pairs, and every shared run keeps its first holder.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, byte_column, checkpoint, in_slices
 
-#: Shorter lines find no partner, and shorter aligned blocks stay: what is that short is common by chance.
+#: Shorter runs of lines find no partner, and shorter aligned blocks stay: what is that short is common by chance.
 MIN_WORDS = 8
 LAST = (1 << 63) - 1
 
@@ -80,6 +80,28 @@ def common_blocks(later: list, words: list[int], earlier: list, min_words: int =
     return out
 
 
+def line_runs(lines: list[bytes], words: list[int], min_words: int = MIN_WORDS) -> list[tuple[bytes, int, int]]:
+    """(hash, first, end) of the shortest run of min_words words that begins at each line, and of the one that ends there.
+
+    Two documents with a common block share a run within the block over each of its lines."""
+    spans, total, b = set(), 0, 0
+    for a, n in enumerate(words):
+        while b < len(words) and total < min_words:
+            total, b = total + words[b], b + 1
+        if total < min_words:
+            break
+        spans.add((a, b))
+        total -= n
+    total, a = 0, 0
+    for b, n in enumerate(words, 1):
+        total += n
+        while total - words[a] >= min_words:
+            total, a = total - words[a], a + 1
+        if total >= min_words:
+            spans.add((a, b))
+    return [(lines[a] if b - a == 1 else xxhash.xxh3_128_digest(b"".join(lines[a:b])), a, b) for a, b in sorted(spans)]
+
+
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """k (the id, null last), h (hash of the text) and, of lines with a word, their place, word count and 128-bit hash."""
     rows = docs.select(F.coalesce(F.col(id_col), F.lit(LAST)).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
@@ -103,8 +125,15 @@ def deletions(table: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(k, h, gone): one byte for each line of a document, 1 where it is deleted; documents without deletions are absent.
 
     table has each (k, h) once and is written out: its joins then shuffle both sides, so hot holders can be split."""
-    long = F.filter(F.arrays_zip("lines", "words"), lambda x: x["words"] >= min_words)
-    each = table.select("k", "h", F.explode(F.array_distinct(F.transform(long, lambda x: x["lines"]))).alias("line"))
+    def held(batches):
+        for batch in batches:
+            for part in in_slices(batch):
+                k, h, lines, words = (c.to_pylist() for c in part.columns)
+                out = [(x, y, list({r[0] for r in line_runs(a, b, min_words)})) for x, y, a, b in zip(k, h, lines, words)]
+                yield batch_of(runs, [list(c) for c in zip(*out)])
+
+    runs = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("runs", pa.list_(pa.binary()))])
+    each = table.select("k", "h", "lines", "words").mapInArrow(held, "k bigint, h bigint, runs array<binary>").select("k", "h", F.explode("runs").alias("line"))
     first = each.groupBy("line").agg(F.min(F.struct("k", "h")).alias("first"), F.count("*").alias("df")).where("df > 1").select("line", F.col("first.k").alias("fk"), F.col("first.h").alias("fh"))
     first = checkpoint(first)  # read again, it is shuffled like the other side, so the skew join can split a line
     pairs = each.join(first, "line").where("k > fk").groupBy("k", "h", "fk", "fh").count().drop("count")

@@ -221,6 +221,25 @@ def test_line_dedup(docs, rows):
     assert line_dedup.dedup_lines(docs).columns == docs.columns
 
 
+def test_line_dedup_of_short_lines(spark):
+    verse = "one two three\nfour five\nsix\n\nseven eight nine"
+    rows = [(1, "a b\n" + verse), (2, verse), (3, "c d e\n" + verse + "\nf g"), (4, "one two three\nx y"), (5, "one two three four five six seven\nz")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "", 3: "c d e\n\nf g", 4: rows[3][1], 5: rows[4][1]}
+
+
+def test_line_runs_cover_every_block():
+    rng = random.Random(8)
+    for _ in range(200):
+        words = [rng.choice((1, 1, 2, 3, 9)) for _ in range(rng.randint(0, 9))]
+        spans = {(a, b) for _, a, b in line_dedup.line_runs([bytes([i]) * 16 for i in range(len(words))], words)}
+        assert all(sum(words[a:b]) >= 8 for a, b in spans)
+        for a in range(len(words)):
+            for b in range(a + 1, len(words) + 1):
+                inside = [s for s in spans if a <= s[0] and s[1] <= b]
+                assert sum(words[a:b]) < 8 or {i for s in inside for i in range(*s)} == set(range(a, b))
+
+
 def test_patience():
     assert line_dedup.patience(list("xabcy"), list("zabcw")) == [(1, 1), (2, 2), (3, 3)]
     assert line_dedup.patience([], list("a")) == [] and line_dedup.patience(list("aa"), list("aa")) == [(0, 0), (1, 1)]
