@@ -1,8 +1,9 @@
 """Line dedup by pairwise alignment: documents that share the hash of a run of lines are paired, aligned by patience
 diff, and the aligned common blocks are deleted from the later document.
 
-Every run shared by several documents pairs each later one with the first that has the run, so a run of any number
-of documents gives one pair for each, never all pairs, and every shared run keeps its first holder.
+Every run shared by several documents pairs each later one with the first that has the run; a run that is not wholly
+deleted then meets its next earlier holders, twice as many in each round, until none is left. So a run of any number of
+documents gives all pairs only where alignment fails, and the result is that of alignment with all earlier holders.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import batch_of, byte_column, checkpoint, in_slices
 
@@ -136,29 +138,57 @@ def deletions(table: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     each = table.select("k", "h", "lines", "words").mapInArrow(held, "k bigint, h bigint, runs array<binary>").select("k", "h", F.explode("runs").alias("line"))
     first = each.groupBy("line").agg(F.min(F.struct("k", "h")).alias("first"), F.count("*").alias("df")).where("df > 1").select("line", F.col("first.k").alias("fk"), F.col("first.h").alias("fh"))
     first = checkpoint(first)  # read again, it is shuffled like the other side, so the skew join can split a line
-    pairs = each.join(first, "line").where("k > fk").groupBy("k", "h", "fk", "fh").count().drop("count")
+    shared = checkpoint(each.join(first, "line").select("line", "k", "h", "fk", "fh"))
     earlier = table.select(F.col("k").alias("fk"), F.col("h").alias("fh"), F.col("lines").alias("other"))
-    both = pairs.join(earlier, ["fk", "fh"]).join(table, ["k", "h"]).select("k", "h", "n", "at", "words", "lines", "other")
-    schema = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("gone", pa.binary())])
+    schema = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("gone", pa.binary()), ("open", pa.list_(pa.binary()))])
 
     def run(batches):
-        now, gone = None, None
+        now = None
         for batch in batches:
             for part in in_slices(batch):
                 out = []
-                for k, h, n, at, words, lines, other in zip(*(c.to_pylist() for c in part.columns)):
+                for k, h, n, at, words, lines, before, seeds, other in zip(*(c.to_pylist() for c in part.columns)):
                     if (k, h) != now:
-                        if now and any(gone):
-                            out.append((*now, bytes(gone)))
-                        now, gone = (k, h), bytearray(n)
-                    for i in common_blocks(lines, words, other, min_words):
-                        gone[at[i]] = 1
+                        if now:
+                            out.append((*now, *result(gone, places, asked)))
+                        now, gone, asked, places = (k, h), bytearray(before or n), set(), {}
+                        for x, a, b in line_runs(lines, words, min_words):
+                            places.setdefault(x, []).append(at[a:b])
+                    asked.update(seeds)
+                    if is_open(seeds, gone, places):
+                        for i in common_blocks(lines, words, other, min_words):
+                            gone[at[i]] = 1
                 if out:
                     yield batch_of(schema, [list(c) for c in zip(*out)])
-        if now and any(gone):
-            yield batch_of(schema, [[now[0]], [now[1]], [bytes(gone)]])
-
-    return both.repartition("k", "h").sortWithinPartitions("k", "h").mapInArrow(run, "k bigint, h bigint, gone binary")
+        if now:
+            yield batch_of(schema, [[x] for x in (*now, *result(gone, places, asked))])
+
+    def is_open(seeds, gone, places):
+        return any(not gone[i] for x in seeds for p in places[x] for i in p)
+
+    def result(gone, places, asked):
+        return bytes(gone), [x for x in sorted(asked) if is_open([x], gone, places)]
+
+    pairs, number, done = shared.where("k > fk").select("line", "k", "h", "fk", "fh"), 0, []
+    while True:
+        seeded = pairs.groupBy("k", "h", "fk", "fh").agg(F.collect_list("line").alias("seeds"))
+        own = table.join(done[-1].select("k", "h", F.col("gone").alias("before")), ["k", "h"]) if done else table.withColumn("before", F.lit(None).cast("binary"))
+        both = seeded.join(earlier, ["fk", "fh"]).join(own, ["k", "h"]).select("k", "h", "n", "at", "words", "lines", "before", "seeds", "other")
+        found = checkpoint(both.repartition("k", "h").sortWithinPartitions("k", "h").mapInArrow(run, "k bigint, h bigint, gone binary, open array<binary>").withColumn("number", F.lit(number)))
+        done.append(found)
+        left = found.select("k", "h", F.explode("open").alias("line"))
+        last = left.groupBy("line").agg(F.max("k").alias("last"))
+        # the next 2^number holders of each run, by place after the first
+        low, number = 2**number, number + 1
+        ranked = shared.join(last, "line").where("k < last").select("line", F.col("k").alias("fk"), F.col("h").alias("fh")).withColumn("place", F.row_number().over(Window.partitionBy("line").orderBy("fk", "fh"))).where(F.col("place") <= 2 * low)
+        holders = checkpoint(ranked.where(F.col("place") > low).drop("place"))
+        pairs = checkpoint(left.join(holders, "line").where("k > fk").select("line", "k", "h", "fk", "fh"))
+        if pairs.isEmpty():
+            break
+    every = done[0]
+    for found in done[1:]:
+        every = every.unionByName(found)
+    return every.groupBy("k", "h").agg(F.max_by("gone", "number").alias("gone")).where(F.locate("\x01", F.col("gone").cast("string")) > 0)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, added: bool = False) -> DataFrame:

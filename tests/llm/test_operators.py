@@ -228,6 +228,22 @@ def test_line_dedup_of_short_lines(spark):
     assert got == {1: rows[0][1], 2: "", 3: "c d e\n\nf g", 4: rows[3][1], 5: rows[4][1]}
 
 
+def test_line_dedup_equals_alignment_with_all_earlier(spark):
+    rng = random.Random(9)
+    pool = [f"{i} b c d e f g h" if i % 2 else f"{i} x y" for i in range(14)]
+    texts = ["\n".join(rng.choices(pool, k=rng.randint(1, 9))) for _ in range(60)]
+    p, q = "p b c d e f g h", "q b c d e f g h"
+    texts += [f"{p}\n{q}", f"{q}\n{p}", f"{q}\n{p}"]
+    want = {}
+    for k, text in enumerate(texts):
+        own, gone = text.encode().split(b"\n"), set()
+        for e in texts[:k]:
+            gone |= set(line_dedup.common_blocks(own, [len(s.split()) for s in own], e.encode().split(b"\n")))
+        want[k] = "\n".join(s for i, s in enumerate(text.split("\n")) if i not in gone)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == want and got[62] == ""
+
+
 def test_line_runs_cover_every_block():
     rng = random.Random(8)
     for _ in range(200):
