@@ -1,294 +1,263 @@
 """Substring dedup: windows of words, a count-min prefilter, exact groups of what it leaves, and removal.
 
-Pass 1 sketches, by part of the input, in how many documents each window may start; merged sketches never count too
-few. Pass 2 sends only windows counted twice or more, and groups them exactly by 96 bits of hash. The first document
-of each is told so; pass 3 removes, in every document, the windows counted twice that are not its own.
+Documents are dealt by a hash to buckets of about BUCKET_BYTES, so a bucket is a function of the table. Each bucket
+sketches the windows that it holds; a sketch row is cut into as many blocks as there are buckets. A block's task adds
+up what all buckets sent (sums never count too few) and answers, for each cell a bucket sent, whether it was counted
+twice. No task, and never the driver, holds more than one block, so the sketch filters alike at every size. Only windows
+counted twice in every row are then sent to be grouped exactly, by 128 bits of hash (two different windows of one group
+in 2^64 windows have odds of about 1 in 2); the answer is a bit for each: whether the bucket has the first holder.
+The dealt texts are shuffled once: all three passes read the same exchange.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, byte_column, id_text, in_slices
+from .common import byte_column, id_text
+from .wordhash import Words, mixed, runs, slices, whole_runs, words_of
 
 WINDOW = 13
 DEPTH = 2
-#: Cells of each sketch row are a third of the text's bytes, up to this: what is broadcast stays under DEPTH / 8 times it.
-MAX_CELLS = 1 << 29
-BLOCKS = 64
+#: Text of one bucket, and the cells of each row that stand for as much text: about three for a window.
+BUCKET_BYTES = 8 << 20
+SPAN = 1 << 22
 LAST = (1 << 63) - 1
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_MULTIPLIERS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-_known: dict[bytes, int] = {}
-
-
-def _finish(x: np.ndarray, k: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(_MULTIPLIERS[k])
-        return x ^ (x >> np.uint64(29))
-
-
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    try:
-        return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
-    except KeyError:
-        if len(_known) > 500_000:
-            _known.clear()
-        for w in set(words):
-            if w not in _known:
-                _known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
-
-
-def window_hashes(words: list[bytes], size: int = WINDOW, second: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64 and 32 more bits for each run of `size` words, by two rolling polynomials of the words' hashes."""
-    n = len(words) - size + 1
-    if n < 1:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-    a = _word_hashes(words)
-    out = []
-    with np.errstate(over="ignore"):
-        for k in range(1 + second):
-            x = a if not k else _finish(a, 1)
-            h = x[:n].copy()
-            for j in range(1, size):
-                h *= np.uint64(_BASES[k])
-                h += x[j : j + n]
-            out.append(_finish(h, k))
-    return out[0], (out[1] >> np.uint64(32)).astype(np.uint32) if second else np.zeros(n, np.uint32)
-
-
-def _cells(h: np.ndarray, row: int, width: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = h if not row else (h * np.uint64(0xD6E8FEB86659FD93)) ^ (h >> np.uint64(7))
-        return ((x >> np.uint64(32)) * np.uint64(width)) >> np.uint64(32)
-
-
-def _pack(values: np.ndarray) -> bytes:
-    """Sorted numbers as gaps of one byte; 255 adds and goes on."""
-    gaps = np.diff(values, prepend=np.int64(0))
-    more, rest = np.divmod(gaps, 255)
-    out = np.full(int(more.sum()) + len(gaps), 255, np.uint8)
-    out[np.cumsum(more + 1) - 1] = rest
+OWNED = DEPTH  # the kind of answer that follows those of the sketch's rows
+
+SKETCH = "block int, row int, f int, n int, data binary"
+ANSWER = "f int, kind int, block int, n int, data binary"
+CANDIDATES = "block int, f int, h binary, more binary, ids binary"
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Sorted numbers as gaps of seven bits a byte, lowest first; the high bit says that the gap goes on."""
+    gaps = np.diff(values, prepend=values.dtype.type(0)).astype(np.uint64)
+    size = np.ones(len(gaps), np.int64)
+    for k in range(1, 5):
+        size += gaps >= np.uint64(1 << 7 * k)
+    ends = np.cumsum(size)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for k in range(5):
+        at = np.flatnonzero(size > k)
+        if not len(at):
+            break
+        goes_on = (size[at] > k + 1).astype(np.uint64) << np.uint64(7)
+        out[ends[at] - size[at] + k] = ((gaps[at] >> np.uint64(7 * k)) & np.uint64(127)) | goes_on
     return out.tobytes()
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    gaps = np.frombuffer(data, np.uint8)
-    return np.cumsum(gaps, dtype=np.int64)[gaps != 255]
-
-
-def _counted(parts: list[np.ndarray], width: int):
-    """(row, block, packed cells) of windows in parts; a cell met twice or more stands twice."""
-    h = np.concatenate(parts)
-    span = -(-width // BLOCKS)
-    for row in range(DEPTH):
-        cells = np.sort(_cells(h, row, width)).astype(np.int64)
-        third = np.zeros(len(cells), bool)
-        third[2:] = cells[2:] == cells[:-2]
-        cells = cells[~third]
-        edges = np.searchsorted(cells, np.arange(BLOCKS + 1) * span)
-        for block in range(BLOCKS):
-            part = cells[edges[block] : edges[block + 1]]
-            if len(part):
-                yield row, block, _pack(part - block * span)
-
-
-def build_sketch(rows: DataFrame, width: int):
-    """A broadcast of compressed bitmaps: in each row of the sketch, the cells counted twice or more."""
-    schema = pa.schema([("row", pa.int32()), ("block", pa.int32()), ("data", pa.binary())])
-    span = -(-width // BLOCKS)
-
-    def count(batches):
-        held, n = [], 0
-        for batch in batches:
-            for part in in_slices(batch):
-                for text in byte_column(part.column(1)):
-                    h = np.unique(window_hashes(text.split(), second=False)[0])
-                    held.append(h)
-                    n += len(h)
-                if n > 3_000_000:
-                    yield batch_of(schema, [list(c) for c in zip(*_counted(held, width))])
-                    held, n = [], 0
-        if n:
-            yield batch_of(schema, [list(c) for c in zip(*_counted(held, width))])
-
-    def merge(batches):
-        now, once, twice = None, None, None
-        for batch in batches:
-            for row, block, data in zip(*(c.to_pylist() for c in batch.columns)):
-                if (row, block) != now:
-                    if now:
-                        yield batch_of(schema, [[now[0]], [now[1]], [zlib.compress(np.packbits(twice).tobytes(), 1)]])
-                    now, once, twice = (row, block), np.zeros(span, bool), np.zeros(span, bool)
-                cells = _unpack(data)
-                again = np.zeros(len(cells), bool)
-                again[1:] = cells[1:] == cells[:-1]
-                twice[cells[again]] = True
-                first = cells[~again]
-                twice[first[once[first]]] = True
-                once[first] = True
-        if now:
-            yield batch_of(schema, [[now[0]], [now[1]], [zlib.compress(np.packbits(twice).tobytes(), 1)]])
-
-    spec = "row int, block int, data binary"
-    merged = rows.mapInArrow(count, spec).repartition("row", "block").sortWithinPartitions("row", "block").mapInArrow(merge, spec).collect()  # bitmaps of DEPTH x width bits at most
-    return rows.sparkSession.sparkContext.broadcast((width, [(r.row, r.block, bytes(r.data)) for r in merged]))
-
-
-_sketch: dict[int, tuple] = {}
-
-
-def _repeated(shared, h: np.ndarray) -> np.ndarray:
-    """Whether the sketch counts each window twice or more."""
-    if shared.id not in _sketch:
-        _sketch.clear()
-        width, blocks = shared.value
-        span = -(-width // BLOCKS)
-        bits = np.zeros((DEPTH, BLOCKS, (span + 7) // 8), np.uint8)
-        for row, block, data in blocks:
-            bits[row, block] = np.frombuffer(zlib.decompress(data), np.uint8)
-        _sketch[shared.id] = (width, span, bits)
-    width, span, bits = _sketch[shared.id]
-    out = np.ones(len(h), bool)
-    for row in range(DEPTH):
-        cell = _cells(h, row, width).astype(np.int64)
-        block, at = np.divmod(cell, span)
-        out &= (bits[row, block, at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-    return out
-
-
-class _Shared:
-    """A broadcast with an id that tells it from others in a worker."""
-
-    def __init__(self, broadcast, tag: int) -> None:
-        self.broadcast, self.id = broadcast, tag
-
-    @property
-    def value(self):
-        return self.broadcast.value
-
-
-def _by_bucket(bucket: np.ndarray, n: int, *columns: np.ndarray):
-    order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(n + 1))
-    for b in range(n):
-        if edges[b] < edges[b + 1]:
-            at = order[edges[b] : edges[b + 1]]
-            yield (b, *(c[at].tobytes() for c in columns))
-
-
-def first_holders(rows: DataFrame, shared: _Shared, buckets: int) -> DataFrame:
-    """(bucket of doc_id, ids, windows): for each window that the sketch counts twice, the least doc_id that has it."""
-    sent = pa.schema([("bucket", pa.int32()), ("h", pa.binary()), ("more", pa.binary()), ("ids", pa.binary())])
-    told = pa.schema([("bucket", pa.int32()), ("h", pa.binary()), ("ids", pa.binary())])
-    limit = np.uint64(buckets)
-
-    def least(h, more, ids):
-        order = np.lexsort((ids, more, h))
-        h, more, ids = h[order], more[order], ids[order]
-        first = np.ones(len(h), bool)
-        first[1:] = (h[1:] != h[:-1]) | (more[1:] != more[:-1])
-        return h[first], more[first], ids[first]
-
-    def flush(held):
-        h, more, ids = least(*(np.concatenate(c) for c in zip(*held)))
-        order = np.lexsort((h, ids))
-        h, more, ids = h[order], more[order], ids[order]
-        rows = list(_by_bucket(((h >> np.uint64(20)) % limit).astype(np.int32), buckets, h, more, ids))
-        return batch_of(sent, [list(c) for c in zip(*rows)])
-
-    def find(batches):
-        held, n = [], 0
-        for batch in batches:
-            for part in in_slices(batch):
-                for doc_id, text in zip(part.column(0).to_pylist(), byte_column(part.column(1))):
-                    h, more = window_hashes(text.split())
-                    if len(h) and len(at := np.flatnonzero(_repeated(shared, h))):
-                        held.append((h[at], more[at], np.full(len(at), LAST if doc_id is None else doc_id, np.int64)))
-                        n += len(at)
-                if n > 2_000_000:
-                    yield flush(held)
-                    held, n = [], 0
-        if n:
-            yield flush(held)
-
-    def settle(held):
-        h, _, ids = least(*(np.concatenate(c) for c in zip(*held)))
-        order = np.lexsort((h, ids))
-        rows = list(_by_bucket((ids[order] % buckets).astype(np.int32), buckets, h[order], ids[order]))
-        return batch_of(told, [list(c) for c in zip(*rows)])
-
-    def decide(batches):
-        now, held = None, []
-        for batch in batches:
-            for bucket, h, more, ids in zip(*(c.to_pylist() for c in batch.columns)):
-                if bucket != now:
-                    if held:
-                        yield settle(held)
-                    now, held = bucket, []
-                held.append((np.frombuffer(h, np.uint64), np.frombuffer(more, np.uint32), np.frombuffer(ids, np.int64)))
-        if held:
-            yield settle(held)
-
-    found = rows.mapInArrow(find, "bucket int, h binary, more binary, ids binary")
-    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(decide, "bucket int, h binary, ids binary")
-
-
-def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
+def unpack(data: bytes, counts: np.ndarray) -> np.ndarray:
+    """The numbers of several packed lists that stand one after another, counts[i] of them in list i."""
+    raw = np.frombuffer(data, np.uint8)
+    ends = np.flatnonzero(raw < 128)
+    first = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
+    size, gaps = ends - first + 1, np.zeros(len(ends), np.int64)
+    for k in range(5):
+        at = np.flatnonzero(size > k)
+        if not len(at):
+            break
+        gaps[at] |= (raw[first[at] + k] & 127).astype(np.int64) << 7 * k
+    total = np.cumsum(gaps)
+    begin = np.cumsum(counts) - counts
+    return total - np.repeat(np.concatenate(([0], total))[begin], counts)
+
+
+def _keys(h: np.ndarray, row: int, blocks: int, span: int) -> np.ndarray:
+    """block << 32 | cell of each window in a row of the sketch."""
+    x = mixed(h, 4 + row)
+    low = np.uint64(0xFFFFFFFF)
+    return (((x >> np.uint64(32)) * np.uint64(blocks)) & ~low) | (((x & low) * np.uint64(span)) >> np.uint64(32))
+
+
+def _entries(keys: np.ndarray) -> np.ndarray:
+    """Which of sorted keys are sent: a key's first two."""
+    sent = np.ones(len(keys), bool)
+    sent[2:] = keys[2:] != keys[:-2]
+    return sent
+
+
+def _block_edges(blocks_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, first = np.unique(blocks_of, return_index=True)
+    return found, np.append(first, len(blocks_of))
+
+
+class _Bucket:
+    """The words and windows of a bucket's texts."""
+
+    def __init__(self, column: pa.Array, second: bool) -> None:
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        hashes, more, at, edges, n = [], [], [], [np.zeros(1, np.int64)], 0
+        for a, b in slices(column) if len(column) else ():
+            words: Words = words_of(column.slice(a, b - a))
+            inside = whole_runs(words, WINDOW)
+            hashes.append(runs(words.hashes, WINDOW)[inside] if len(inside) else np.zeros(0, np.uint64))
+            if second:
+                more.append(runs(words.hashes, WINDOW, 1)[inside] if len(inside) else np.zeros(0, np.uint64))
+            at.append(inside + n)
+            edges.append(words.edges[1:] + n)
+            n += len(words.hashes)
+        none = [np.zeros(0, np.uint64)]
+        self.h, self.more = np.concatenate(hashes or none), np.concatenate(more or none)
+        self.at = np.concatenate(at or [np.zeros(0, np.int64)])
+        self.edges, self.n_words = np.concatenate(edges), n
+
+    def repeated(self, answers: dict, blocks: int, span: int) -> np.ndarray:
+        """Places of the windows that every row of the sketch counts twice."""
+        out = np.ones(len(self.h), bool)
+        for row in range(DEPTH):
+            keys = _keys(self.h, row, blocks, span)
+            order = np.argsort(keys)
+            keys = keys[order]
+            first = np.ones(len(keys), bool)
+            first[1:] = keys[1:] != keys[:-1]
+            bits = np.concatenate([np.unpackbits(np.frombuffer(d, np.uint8), count=n) for _, n, d in sorted(answers.get(row, ()))] or [np.zeros(0, np.uint8)])
+            twice = bits[first[_entries(keys)]].astype(bool)
+            out[order] &= twice[np.cumsum(first) - 1]
+        return np.flatnonzero(out)
+
+
+def _groups(h: np.ndarray, more: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that brings equal windows together, where each group begins in it, and each group's least id."""
+    order = np.argsort(h, kind="stable")
+    first = np.ones(len(h), bool)
+    first[1:] = h[order][1:] != h[order][:-1]
+    second = more[order]
+    if ((second[1:] != second[:-1]) & ~first[1:]).any():  # two windows of one 64-bit hash
+        order = np.lexsort((more, h))
+        first[1:] = (h[order][1:] != h[order][:-1]) | (more[order][1:] != more[order][:-1])
+    begin = np.flatnonzero(first)
+    return order, begin, np.minimum.reduceat(ids[order], begin) if len(begin) else ids[:0]
+
+
+class _Passes:
+    """What the tasks of each pass do, for a number of buckets (as many blocks) and cells of a block."""
+
+    def __init__(self, blocks: int, span: int, texts: bool) -> None:
+        self.blocks, self.span, self.texts = blocks, span, texts
+        self.result = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * texts
+
+    def sketch(self, docs: pa.Table) -> pa.Table:
+        bucket, f, out = _Bucket(docs["text"], False), docs["f"][0].as_py(), []
+        for row in range(DEPTH):
+            keys = np.sort(_keys(bucket.h, row, self.blocks, self.span))
+            keys = keys[_entries(keys)]
+            found, edges = _block_edges((keys >> np.uint64(32)).astype(np.int64))
+            cells = (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            out += [(b, row, f, y - x, pack(cells[x:y])) for b, x, y in zip(found.tolist(), edges[:-1].tolist(), edges[1:].tolist())]
+        return _table(out, [pa.int32()] * 4 + [pa.binary()], ("block", "row", "f", "n", "data"))
+
+    def merge(self, lists: pa.Table) -> pa.Table:
+        out = []
+        for row in range(DEPTH):
+            own = lists.filter(pc.equal(lists["row"], row))
+            counts = own["n"].to_numpy().astype(np.int64)
+            cells = unpack(b"".join(own["data"].to_pylist()), counts)
+            twice = np.bincount(cells, minlength=self.span) > 1 if len(cells) else np.zeros(0, bool)
+            bits, ends = twice[cells], np.cumsum(counts)
+            block = own["block"].to_pylist()
+            out += [(f, row, b, n, np.packbits(bits[e - n : e]).tobytes()) for f, b, n, e in zip(own["f"].to_pylist(), block, counts.tolist(), ends.tolist())]
+        return _answers(out)
+
+    def _candidates(self, docs: pa.Table, answers: pa.Table):
+        """The bucket, the repeated windows, their ids, and their groups."""
+        bucket, held = _Bucket(docs["text"], True), {}
+        for kind, block, n, data in zip(*(answers[c].to_pylist() for c in ("kind", "block", "n", "data"))):
+            held.setdefault(kind, []).append((block, n, data))
+        ids = pc.fill_null(docs["doc_id"], LAST).to_numpy()
+        at = bucket.repeated(held, self.blocks, self.span)
+        of = np.searchsorted(bucket.edges, bucket.at[at], "right") - 1
+        ids = ids[of].astype(np.int64)
+        h, more = bucket.h[at], bucket.more[at]
+        return bucket, held, at, h, more, ids, _groups(h, more, ids)
+
+    def find(self, docs: pa.Table, answers: pa.Table) -> pa.Table:
+        out = []
+        if len(docs):
+            _, _, _, h, more, _, (order, begin, least) = self._candidates(docs, answers)
+            h, more, f = h[order][begin], more[order][begin], docs["f"][0].as_py()
+            found, edges = _block_edges(self._place(h))
+            out = [(b, f, h[x:y].tobytes(), more[x:y].tobytes(), least[x:y].tobytes()) for b, x, y in zip(found.tolist(), edges[:-1].tolist(), edges[1:].tolist())]
+        return _table(out, [pa.int32()] * 2 + [pa.binary()] * 3, ("block", "f", "h", "more", "ids"))
+
+    def _place(self, h: np.ndarray) -> np.ndarray:
+        return (((h >> np.uint64(32)) * np.uint64(self.blocks)) >> np.uint64(32)).astype(np.int64)
+
+    def decide(self, lists: pa.Table) -> pa.Table:
+        """For each window that a bucket sent, whether the bucket's least id is the least of all."""
+        parts = [lists[c].to_pylist() for c in ("h", "more", "ids")]
+        h, more, ids = (np.frombuffer(b"".join(p), t) for p, t in zip(parts, (np.uint64, np.uint64, np.int64)))
+        order, begin, least = _groups(h, more, ids)
+        owned = np.zeros(len(h), bool)
+        owned[order] = ids[order] == np.repeat(least, np.diff(np.append(begin, len(h))))
+        out, at = [], 0
+        for block, f, mine in zip(lists["block"].to_pylist(), lists["f"].to_pylist(), parts[0]):
+            n = len(mine) // 8
+            out.append((f, OWNED, block, n, np.packbits(owned[at : at + n]).tobytes()))
+            at += n
+        return _answers(out)
+
+    def remove(self, docs: pa.Table, answers: pa.Table) -> pa.Table:
+        out = []
+        if len(docs):
+            bucket, held, at, _, _, ids, (order, begin, least) = self._candidates(docs, answers)
+            size = np.diff(np.append(begin, len(at)))
+            owned = np.concatenate([np.unpackbits(np.frombuffer(d, np.uint8), count=n) for _, n, d in sorted(held.get(OWNED, ()))] or [np.zeros(0, np.uint8)]).astype(bool)
+            goes = np.zeros(len(at), bool)
+            goes[order] = ~np.repeat(owned, size) | (np.repeat(least, size) < ids[order])
+            edge = np.zeros(bucket.n_words + 1, np.int32)
+            starts = bucket.at[at[goes]]
+            edge[starts] += 1  # a word begins one window at most
+            edge[starts + WINDOW] -= 1
+            gone = np.cumsum(edge[:-1]) > 0
+            before = np.concatenate(([0], np.cumsum(gone)))
+            removed = np.diff(before[bucket.edges]).tolist()
+            edges = bucket.edges.tolist()
+            for k, (doc_id, text) in enumerate(zip(docs["doc_id"].to_pylist(), byte_column(docs["text"]))):
+                words = text.split()
+                if removed[k]:
+                    words = [w for w, g in zip(words, gone[edges[k] : edges[k + 1]].tolist()) if not g]
+                kept = b" ".join(words)
+                out.append((doc_id, edges[k + 1] - edges[k], removed[k], hashlib.sha256(kept).hexdigest(), *([kept.decode()] if self.texts else [])))
+        return _table(out, [pa.int64()] * 3 + [pa.string()] * (1 + self.texts), ("doc_id", "n_words", "n_removed", "kept_sha256", "kept")[: 4 + self.texts])
+
+
+def _table(rows: list, types: list, names: tuple) -> pa.Table:
+    columns = zip(*rows) if rows else [()] * len(types)
+    return pa.table([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=list(names))
+
+
+def _answers(rows: list) -> pa.Table:
+    return _table(rows, [pa.int32()] * 4 + [pa.binary()], ("f", "kind", "block", "n", "data"))
+
+
+def prefilter(docs: DataFrame, passes: _Passes):
+    """(dealt texts, the sketch's answers to each bucket)"""
+    f = F.pmod(F.xxhash64("doc_id", "text"), F.lit(passes.blocks)).cast("int")
+    dealt = docs.select(f.alias("f"), "doc_id", "text").repartition(passes.blocks, "f")
+    sketches = dealt.groupBy("f").applyInArrow(lambda t: passes.sketch(t), SKETCH)
+    return dealt, sketches.groupBy("block").applyInArrow(lambda t: passes.merge(t), ANSWER)
+
+
+def candidates(dealt: DataFrame, answers: DataFrame, passes: _Passes) -> DataFrame:
+    """The windows of each bucket that the sketch counts twice, with the least id that has them there."""
+    return dealt.groupBy("f").cogroup(answers.groupBy("f")).applyInArrow(lambda a, b: passes.find(a, b), CANDIDATES)
+
+
+def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = False, bucket_bytes: int = BUCKET_BYTES, span: int = SPAN) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (with texts: kept, the remaining text) for each row of docs.
 
     A word is removed if a window of 13 words over it also starts in a document of smaller doc_id. A null id counts as
-    larger than any; rows of one id don't remove each other's words; null and short texts lose nothing."""
+    larger than any; rows of one id don't remove each other's words; null and short texts lose nothing; repeated rows
+    come out alike; an empty table gives an empty one. Words are told apart, and compared, by hashes of their bytes."""
     rows = id_text(docs, id_col, text_col)
     size = rows.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
-    width = int(min(MAX_CELLS, max(1 << 12, size // 3)))
-    buckets = int(max(16, size // (4 << 20)))
-    shared = _Shared(build_sketch(rows, width), hash((width, size, id(docs))))
-    firsts = first_holders(rows, shared, buckets)
-    bucket = F.pmod(F.coalesce("doc_id", F.lit(LAST)), F.lit(buckets)).cast("int")
-    mine = rows.select(bucket.alias("bucket"), F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("h"), F.lit(None).cast("binary").alias("ids"))
-    theirs = firsts.select("bucket", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("text"), "h", "ids")
-    both = theirs.unionByName(mine).repartition("bucket").sortWithinPartitions("bucket", "kind")
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), *([("kept", pa.string())] if texts else [])])
-
-    def remove(batches):
-        now, held, own = None, [], None
-        for batch in batches:
-            for part in in_slices(batch, 4 << 20):
-                out = []
-                for b, kind, doc_id, text, h, ids in zip(*(part.column(i).to_pylist() for i in range(3)), byte_column(part.column(3)), *(part.column(i).to_pylist() for i in (4, 5))):
-                    if b != now:
-                        now, held, own = b, [], None
-                    if not kind:
-                        held.append((np.frombuffer(ids, np.int64), np.frombuffer(h, np.uint64)))
-                        continue
-                    if own is None:
-                        own = [np.concatenate(c) for c in zip(*held)] if held else [np.zeros(0, np.int64), np.zeros(0, np.uint64)]
-                        order = np.argsort(own[0], kind="stable")
-                        own, held = [c[order] for c in own], []
-                    words = text.split()
-                    wh = window_hashes(words, second=False)[0]
-                    gone = np.zeros(len(words), bool)
-                    if len(wh) and len(at := np.flatnonzero(_repeated(shared, wh))):
-                        key = LAST if doc_id is None else doc_id
-                        lo, hi = np.searchsorted(own[0], [key, key], "left")[0], np.searchsorted(own[0], key, "right")
-                        starts = at[~np.isin(wh[at], own[1][lo:hi])]
-                        if len(starts):
-                            edge = np.zeros(len(words) + 1, np.int32)
-                            np.add.at(edge, starts, 1)
-                            np.add.at(edge, starts + WINDOW, -1)
-                            gone = np.cumsum(edge[:-1]) > 0
-                    kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if gone.any() else words)
-                    out.append((doc_id, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), *([kept.decode()] if texts else [])))
-                if out:
-                    yield batch_of(schema, [list(c) for c in zip(*out)])
-
-    return both.mapInArrow(remove, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * texts)
+    passes = _Passes(int(max(16, size // bucket_bytes)), span, texts)
+    dealt, answers = prefilter(rows, passes)
+    owners = candidates(dealt, answers, passes).groupBy("block").applyInArrow(lambda t: passes.decide(t), ANSWER)
+    return dealt.groupBy("f").cogroup(answers.unionByName(owners).groupBy("f")).applyInArrow(lambda a, b: passes.remove(a, b), passes.result)

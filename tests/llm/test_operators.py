@@ -93,10 +93,55 @@ def test_substring(docs, rows):
     assert multiset(substring.removed_words(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == want
 
 
-def test_sketch_never_counts_too_few():
+def test_sketch_lists_round_trip():
     rng = np.random.default_rng(1)
-    cells = np.sort(rng.integers(0, 5000, 300))
-    assert (substring._unpack(substring._pack(cells)) == cells).all()
+    lists = [np.sort(rng.integers(0, top, n)) for top, n in ((5000, 300), (1, 2), (1 << 31, 40), (200, 0), (1 << 22, 999))]
+    got = substring.unpack(b"".join(map(substring.pack, lists)), np.array([len(x) for x in lists]))
+    assert (got == np.concatenate(lists)).all()
+
+
+def test_sketch_filters_alike_at_every_size(spark):
+    """Under 30 % of windows that occur once pass, and all that occur twice, whether there are 16 buckets or 90."""
+    rng = random.Random(12)
+    for n in (300, 1500):
+        texts = [" ".join("".join(rng.choices("abcdefgh", k=rng.randint(3, 8))) for _ in range(80)) for _ in range(n)]
+        texts += [t.split(" ", 30)[-1] for t in texts[:40]]
+        size = sum(map(len, texts))
+        passes = substring._Passes(max(16, size // 8192), 4096, False)
+        rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        found = substring.candidates(*substring.prefilter(rows, passes), passes)
+        sent = sum(len(r.h) // 8 for r in found.collect())
+        windows = sum(len(t.split()) - 12 for t in texts)
+        twice = sum(2 * (len(t.split()) - 12) for t in texts[n:])
+        assert 0 <= sent - twice + 200 and sent - twice < 0.3 * (windows - twice)
+
+
+def test_substring_with_small_buckets(docs):
+    columns = ("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert multiset(substring.removed_words(docs, bucket_bytes=500, span=64), *columns) == multiset(substring.removed_words(docs), *columns)
+
+
+def test_word_hashes():
+    import pyarrow as pa
+
+    from sedimenta.llm.wordhash import runs, whole_runs, words_of
+
+    texts = ["a b", "", "  ab\tcd ", "b", "é" * 40 + " x" * 5, "A b", "12345678 123456789 1234567\x00 1234567", "b a"]
+    got = words_of(pa.array(texts))
+    flat = [w for t in texts for w in t.encode().split()]
+    assert got.counts().tolist() == [len(t.encode().split()) for t in texts]
+    assert [got.hashes[i] == got.hashes[j] for i in range(len(flat)) for j in range(i)] == [flat[i] == flat[j] for i in range(len(flat)) for j in range(i)]
+    assert (words_of(pa.array(["A b"]), lower=True).hashes == words_of(pa.array(["a b"])).hashes).all()
+    sliced = pa.array(["zz", *texts]).slice(1)
+    assert (words_of(sliced).hashes == got.hashes).all()
+    for size in (1, 2, 3, 5, 13):
+        for k in (0, 1):
+            h = runs(got.hashes, size, k)
+            n = len(flat) - size + 1
+            assert len(h) == max(0, n)
+            assert all((h[i] == h[j]) == (flat[i : i + size] == flat[j : j + size]) for i in range(n) for j in range(i))
+        first = np.concatenate(([0], np.cumsum(got.counts())))
+        assert whole_runs(got, size).tolist() == [i for a, b in zip(first[:-1], first[1:]) for i in range(a, b - size + 1)]
 
 
 def test_quality(docs, rows):
