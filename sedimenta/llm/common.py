@@ -22,6 +22,15 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def all_columns(docs: DataFrame) -> list[Column]:
+    """Every column of docs by its quoted name, so that names with dots or backticks stay whole."""
+    return [F.col(quoted(c)) for c in docs.columns]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def crc_mod(id_col: str, n: int) -> Column:
     """crc32 of the id written as text, modulo n; 0 for a null id."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(n)), F.lit(0))
@@ -47,9 +56,22 @@ def in_slices(batch: pa.RecordBatch, max_bytes: int = 8 << 20) -> Iterator[pa.Re
         yield batch.slice(start, step)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or the one set already. A folder of this machine only
+    where neither is there and the master is local, as in tests; on a cluster that is an error."""
+    sc = spark.sparkContext
+    known = sc._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (known.get() if known.isDefined() else None)
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
+    if known.isEmpty():
+        sc.setCheckpointDir(folder)
+    return folder
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder of spark.checkpoint.dir; a folder of our own only where none is set (tests)."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    """Cut the lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

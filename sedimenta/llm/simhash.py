@@ -16,7 +16,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import batch_of, byte_column, checkpoint, id_text, in_slices
 from .graph import components
@@ -24,25 +23,28 @@ from .graph import components
 BITS = 64
 #: Rows of one probe bucket that one task compares; larger buckets are cut into pairs of parts of about this size.
 BUCKET_ROWS = 20_000
-WIDE = ("w1", "w2", "w3")
 
 
-def _mixed(h: np.ndarray, k: int) -> np.ndarray:
-    """Another 64 bits of a 64-bit hash."""
-    with np.errstate(over="ignore"):
-        x = h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
-def _majority(h: np.ndarray) -> int:
-    """Bits that are set in over half of the hashes."""
-    ones = np.zeros(BITS, np.int64)
-    for start in range(0, len(h), 1 << 16):
-        part = h[start : start + (1 << 16)]
-        ones += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+#: A byte's bits as the eight bytes of a word, so that up to 255 words add up without a carry.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view("<u8").ravel()
+
+
+def majorities(h: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """For each run of hashes between edges, the bits that are set in over half of it; 0 for an empty run."""
+    out, size = np.zeros(len(edges) - 1, np.uint64), np.diff(edges)
+    full = np.flatnonzero(size)
+    if not len(full):
+        return out
+    blocks = -(-size[full] // 255)
+    first = np.cumsum(blocks) - blocks
+    at = np.repeat(edges[:-1][full], blocks) + 255 * (np.arange(blocks.sum()) - np.repeat(first, blocks))
+    lanes = np.empty((len(at), 8), np.uint64)
+    rows = np.ascontiguousarray(h, "<u8").view(np.uint8).reshape(-1, 8)
+    for k in range(8):
+        lanes[:, k] = np.add.reduceat(_LANES[rows[:, k]], at)
+    ones = np.add.reduceat(lanes.view(np.uint8).reshape(-1, BITS).astype(np.int64), first, axis=0)
+    out[full] = np.packbits(2 * ones > size[full][:, None], axis=1, bitorder="little").view("<u8").ravel()
+    return out
 
 
 def shingle_hashes(text: bytes, k: int) -> np.ndarray:
@@ -59,23 +61,19 @@ def shingle_hashes(text: bytes, k: int) -> np.ndarray:
     return np.fromiter((digest(line[a:b], 42) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())), np.uint64, len(words) - k + 1)
 
 
-def fingerprints(docs: DataFrame, k: int, wide: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, h (xxhash64 of the text) and the 64-bit fp of k-word shingles, repeats included; with wide also 192
-    further bits w1 to w3. One row for each row of docs. A text without words has all bits zero."""
-    names = ["fp", *(WIDE if wide else ())]
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), *((n, pa.int64()) for n in names)])
+def fingerprints(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, h (xxhash64 of the text) and the 64-bit fp of k-word shingles, repeats included. One row for each row
+    of docs. A text without words has all bits zero."""
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("fp", pa.int64())])
 
     def run(batches):
         for batch in batches:
             for part in in_slices(batch):
-                out = np.zeros((len(names), part.num_rows), np.uint64)
-                for i, text in enumerate(byte_column(part.column(1))):
-                    h = shingle_hashes(text, k)
-                    for j in range(len(names)):
-                        out[j, i] = _majority(_mixed(h, j) if j else h) if len(h) else 0
-                yield batch_of(schema, [part.column(0), part.column(2), *out.view(np.int64)])
+                hashes = [shingle_hashes(text, k) for text in byte_column(part.column(1))]
+                edges = np.concatenate(([0], np.cumsum([len(h) for h in hashes])))
+                yield batch_of(schema, [part.column(0), part.column(2), majorities(np.concatenate([*hashes, np.zeros(0, np.uint64)]), edges).view(np.int64)])
 
-    return id_text(docs, id_col, text_col).withColumn("h", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, h bigint, " + ", ".join(f"{n} bigint" for n in names))
+    return id_text(docs, id_col, text_col).withColumn("h", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, h bigint, fp bigint")
 
 
 @dataclass(frozen=True)
@@ -195,7 +193,7 @@ def signatures(fps: DataFrame, plan: Plan) -> DataFrame:
     return fps.select("*", F.explode(F.concat(*each)).alias("s")).select("*", "s.*").drop("s")
 
 
-def _forest(node, side, words, radii):
+def _forest(node, side, fp, radius):
     """Edges that connect, within one bucket, just what its links connect: blocks of filed rows against looked-up ones."""
     rows, cols = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
     label = np.arange(len(node))
@@ -211,11 +209,7 @@ def _forest(node, side, words, radii):
         block = rows[start : start + 128]
         for c0 in range(0, len(cols), 8192):
             chunk = cols[c0 : c0 + 8192]
-            near = np.bitwise_count(words[0][block][:, None] ^ words[0][chunk][None, :]) <= radii[0]
-            if len(words) > 1:
-                a, b = np.nonzero(near)
-                apart = sum(np.bitwise_count(w[block[a]] ^ w[chunk[b]]).astype(np.int32) for w in words)
-                near[a, b] = apart <= radii[1]
+            near = np.bitwise_count(fp[block][:, None] ^ fp[chunk][None, :]) <= radius
             first, linked = near.argmax(0), near.any(0)
             hit = np.flatnonzero(linked)
             edges = [(block[first[hit]], chunk[hit])]
@@ -237,13 +231,11 @@ def _forest(node, side, words, radii):
     return out
 
 
-def links(fps: DataFrame, plan: Plan, radius: int, wide_radius: int | None = None) -> DataFrame:
-    """Edges (u, v) between nodes of fps(node, fp, ...) whose transitive closure is that of all links.
+def _compared(signed: DataFrame, names: tuple[str, ...], found, worth=None) -> DataFrame:
+    """Distinct pairs (u, v) that found(node, side, columns of names) gives within buckets of signed(part, value, side,
+    node, *names). Buckets over BUCKET_ROWS are cut into parts, and every pair of parts is compared by a task of its own.
 
-    A bucket of any size gives fewer edges than it has rows. Buckets over BUCKET_ROWS are cut into parts, and every
-    pair of parts is compared by a task of its own."""
-    names = ["fp", *(WIDE if wide_radius is not None else ())]
-    signed = signatures(fps.select("node", *names), plan)
+    worth(bounds, columns of names) may tell for many buckets at once which of them to look into."""
     large = signed.groupBy("part", "value").count().where(F.col("count") > BUCKET_ROWS).select("part", "value", F.ceil(F.col("count") / BUCKET_ROWS).cast("int").alias("g"))
     cut = signed.join(large, ["part", "value"], "left").withColumn("g", F.coalesce("g", F.lit(1)))
     own = F.pmod(F.xxhash64("node"), F.col("g")).cast("int")
@@ -258,8 +250,7 @@ def links(fps: DataFrame, plan: Plan, radius: int, wide_radius: int | None = Non
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
-            keys = cols[:5]
-            new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in cols[:4]], axis=0)) + 1
             last = new[-1] if len(new) else 0
             held = [c[last:] for c in cols]
             yield from emit([c[:last] for c in cols], new, seen)
@@ -268,12 +259,11 @@ def links(fps: DataFrame, plan: Plan, radius: int, wide_radius: int | None = Non
 
     def emit(cols, new, seen):
         bounds = np.concatenate(([0], new[new < len(cols[0])], [len(cols[0])])).astype(np.int64)
-        found = []
-        for k in np.flatnonzero(np.diff(bounds) > 1):
+        pairs, words = [], [c.view(np.uint64) for c in cols[6:]]
+        for k in np.flatnonzero((np.diff(bounds) > 1) if worth is None else worth(bounds, words)):
             a, b = bounds[k], bounds[k + 1]
-            node, side = cols[6][a:b], cols[5][a:b]
-            found += _forest(node, side, [c[a:b].view(np.uint64) for c in cols[7:]], (radius, wide_radius))
-        fresh = [(int(min(x)), int(max(x))) for x in found]
+            pairs += found(cols[5][a:b], cols[4][a:b], [w[a:b] for w in words])
+        fresh = [(int(min(x)), int(max(x))) for x in pairs]
         fresh = [x for x in dict.fromkeys(fresh) if x not in seen]
         if len(seen) < 200_000:
             seen.update(fresh)
@@ -281,46 +271,37 @@ def links(fps: DataFrame, plan: Plan, radius: int, wide_radius: int | None = Non
             yield batch_of(schema, [list(c) for c in zip(*fresh)])
 
     dealt = keyed.repartition("bucket").sortWithinPartitions("bucket", "part", "value", "lo", "hi")
-    return dealt.drop("bucket").select(F.lit(0).alias("z"), "*").mapInArrow(run, "u bigint, v bigint").distinct()
+    return dealt.drop("bucket").mapInArrow(run, "u bigint, v bigint").distinct()
 
 
-def group(rows: DataFrame, radius: int, wide_radius: int | None = None, sizes: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
-    """rows(doc_id, h, fp, ...) with component_id: the smallest doc_id reachable over links, itself included.
+def links(fps: DataFrame, plan: Plan, radius: int) -> DataFrame:
+    """Edges (u, v) between nodes of fps(node, fp) whose transitive closure is that of all links.
 
-    Fingerprints link at radius or fewer differing bits (and at wide_radius or fewer of 256, where given). Equal
-    fingerprints are one node, so copies cost one row; an empty table gives an empty one; a null doc_id is linked like
-    any other but never is a component_id, unless all ids of a group are null."""
-    names = ["fp", *(WIDE if wide_radius is not None else ())]
-    node = F.xxhash64(*names) if wide_radius is not None else F.col("fp")
-    rows = checkpoint(rows.withColumn("node", node))
-    fps = checkpoint(rows.groupBy("node", *names).agg(F.min("doc_id").alias("least_id")))
-    plan = choose_plan(fps, radius, sizes)
-    joined = components(links(fps, plan, radius, wide_radius))
-    classes = fps.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "least_id")
-    least = checkpoint(classes.groupBy("component").agg(F.min("least_id").alias("component_id")))  # so that a hot component can be split
-    by_node = classes.join(least, "component").select("node", "component_id")
-    return rows.join(by_node, "node").drop("node")
+    A bucket of any size gives fewer edges than it has rows."""
+    return _compared(signatures(fps.select("node", "fp"), plan), ("fp",), lambda node, side, words: _forest(node, side, words[0], radius))
 
 
-def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id for each row of docs. Null texts have no words."""
-    rows = group(fingerprints(docs, k, id_col=id_col, text_col=text_col), radius)
-    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+def _classes(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows(node, ...) with component_id: the least doc_id of nodes(node, least_id) reachable over edges, or none."""
+    joined = components(edges)
+    classes = nodes.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "least_id")
+    least = checkpoint(classes.groupBy("component").agg(F.min("least_id").alias("component_id")))  # so that a hot component can be split
+    return rows.join(classes.join(least, "component").select("node", "component", "component_id"), "node")
 
 
-#: For five-word shingles of similarity 0.8 and more: 0.8 is an angle at which 15 % of bits differ.
-SIMILAR = {"k": 5, "radius": 14, "wide_radius": 46, "sizes": (4, 5, 6, 7, 8)}
+def group(rows: DataFrame, radius: int, sizes: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
+    """rows(doc_id, h, fp) with component_id: the smallest doc_id reachable over links, itself included.
 
+    Fingerprints link at radius or fewer differing bits. Equal fingerprints are one node, so copies cost one row; an
+    empty table gives an empty one; a null doc_id is linked like any other but never is a component_id, unless all ids
+    of a group are null."""
+    rows = checkpoint(rows.withColumn("node", F.col("fp")))
+    fps = checkpoint(rows.groupBy("node", "fp").agg(F.min("doc_id").alias("least_id")))
+    plan = choose_plan(fps, radius, sizes)
+    return _classes(rows, fps, links(fps, plan, radius)).drop("node", "component")
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without those that are near-duplicates of a kept one; columns as in docs.
 
-    Documents of one component of links keep the row of smallest doc_id (null last; then by hash of the text); of
-    rows repeated in id and text one stays. Links: at most 14 of the first 64 and 46 of all 256 SimHash bits differ."""
-    rows = group(fingerprints(docs, SIMILAR["k"], wide=True, id_col=id_col, text_col=text_col), SIMILAR["radius"], SIMILAR["wide_radius"], SIMILAR["sizes"])
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
-    keepers = rows.groupBy(F.coalesce("component_id", F.col("h")).alias("c"), F.col("component_id").isNull().alias("n")).agg(best.alias("k")).select(F.col("k.doc_id").alias("__llm_id"), F.col("k.h").alias("__llm_h"))
-    marked = docs.withColumn("__llm_text_h", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    stay = marked.join(keepers, (F.col(id_col).eqNullSafe(F.col("__llm_id"))) & (F.col("__llm_text_h") == F.col("__llm_h")), "left_semi")
-    first = Window.partitionBy(F.col(id_col), "__llm_text_h").orderBy(F.lit(1))
-    return stay.withColumn("__llm_n", F.row_number().over(first)).where("__llm_n = 1").select(*docs.columns)
+def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id for each row of docs. Null texts have no words."""
+    rows = group(fingerprints(docs, k, id_col=id_col, text_col=text_col), radius)
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sedimenta.llm import bpe, langid, line_dedup, lm_scoring, mixing, quality, simhash, substring, warc, winnow
+from sedimenta.llm import bpe, langid, line_dedup, lm_scoring, mixing, neardup, quality, simhash, substring, warc, winnow
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept int, h string, bucket string"
@@ -235,12 +235,75 @@ def test_buckets_over_the_limit_are_cut(spark, monkeypatch):
     assert all(got.get(m, m) == label[m] for m in marks)
 
 
-def test_keep_one(docs, rows):
-    kept = simhash.keep_one(docs)
+def shingle_set(text, k=5):
+    w = [x.lower() for x in words(text)]
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+
+
+def brute_groups(rows):
+    """The number of each row's group: those reachable over links of equal sets, or 0.8 alike."""
+    sets, label = [shingle_set(r[1]) for r in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and (sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) > 0):
+                old = label[i]
+                label = [label[j] if x == old else x for x in label]
+    return label
+
+
+def test_near_groups(spark, rows):
+    rng = random.Random(21)
+    some = [(r[0], r[1]) for r in rows]
+    for i in range(24):
+        w = rng.choices([f"w{k}" for k in range(400)], k=rng.choice((3, 6, 30, 120, 400)))
+        some.append((1000 + 10 * i, " ".join(w)))
+        for j in range(1, rng.randint(1, 8)):
+            w = list(w)
+            for _ in range(rng.randint(0, max(1, len(w) // 60))):
+                w[rng.randrange(len(w))] = "changed" + str(rng.random())
+            some.append((1000 + 10 * i + j, " ".join(w).upper() if j == 3 else "  ".join(w)))
+    label, want, least = brute_groups(some), Counter(), {}
+    for (i, _), x in zip(some, label):
+        least[x] = min(least.get(x, math.inf), math.inf if i is None else i)
+    for (i, _), x in zip(some, label):
+        want[i, None if least[x] == math.inf else least[x]] += 1
+    df = spark.createDataFrame(some, "doc_id long, text string")
+    assert multiset(neardup.near_groups(df), "doc_id", "component_id") == want
+    assert Counter(r.doc_id for r in neardup.keep_one(df).collect()) == Counter(None if x == math.inf else x for x in least.values())
+
+
+def test_near_groups_of_large_buckets(spark, monkeypatch):
+    """Hundreds of near copies of one text, in buckets that are cut: one group, and far fewer pairs than all."""
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", 64)
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    texts = []
+    for i in range(250):
+        w = list(base)
+        w[rng.randrange(300)] = f"own{i}"
+        texts.append((i, " ".join(w)))
+    df = spark.createDataFrame([*texts, (900, " ".join(f"x{i}" for i in range(300)))], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_groups(df).collect()}
+    assert set(got.values()) == {0, 900} and sum(x == 0 for x in got.values()) == 250
+
+
+def test_keep_one(docs, rows, spark):
+    kept = neardup.keep_one(docs)
     ids = [r.doc_id for r in kept.collect()]
     assert kept.columns == docs.columns and len(ids) == len(set(ids))
     same = [r[0] for r in rows if r[1] == rows[0][1]]
     assert same[0] in ids and not set(same[1:]) & set(ids)
+    odd = spark.createDataFrame([(1, "a b", "x", "p", 1), (1, "a b", "y", "q", 2), (2, "A  b", "z", None, 3)], "doc_id long, text string, `a.b` string, node string, `c``d` long")
+    kept = neardup.keep_one(odd)
+    assert kept.columns == odd.columns and len(kept.collect()) == 1 and kept.collect() == kept.collect()
+
+
+def test_majorities():
+    rng = np.random.default_rng(4)
+    h = rng.integers(0, 1 << 63, 2000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    edges = np.array([0, 0, 1, 3, 258, 258, 513, 1300, 2000])
+    want = [sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h[a:c]) > c - a) for a, c in zip(edges[:-1], edges[1:])]
+    assert simhash.majorities(h, edges).tolist() == want
 
 
 def test_line_dedup(docs, rows):
@@ -412,7 +475,7 @@ def test_warc(spark):
 
 
 def test_empty_tables(empty):
-    for f in (lm_scoring.score_documents, line_dedup.report, quality.judge, quality.keep_good, substring.removed_words, winnow.edited_likeness, simhash.near_duplicates, simhash.keep_one, langid.identify, line_dedup.dedup_lines):
+    for f in (lm_scoring.score_documents, line_dedup.report, quality.judge, quality.keep_good, substring.removed_words, winnow.edited_likeness, simhash.near_duplicates, neardup.keep_one, langid.identify, line_dedup.dedup_lines):
         assert f(empty).collect() == [], f
     assert bpe.digest_documents(empty, BPE).collect() == []
 
