@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import batch_of, byte_column, checkpoint, in_slices
+from .common import all_columns, batch_of, byte_column, checkpoint, in_slices, quoted
 
 #: Shorter runs of lines find no partner, and shorter aligned blocks stay: what is that short is common by chance.
 MIN_WORDS = 8
 LAST = (1 << 63) - 1
+#: Parts in which the holders of one run are ranked.
+SALTS = 64
 
 
 def _common_unique(a: list, b: list, a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
@@ -106,7 +108,7 @@ def line_runs(lines: list[bytes], words: list[int], min_words: int = MIN_WORDS)
 
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """k (the id, null last), h (hash of the text) and, of lines with a word, their place, word count and 128-bit hash."""
-    rows = docs.select(F.coalesce(F.col(id_col), F.lit(LAST)).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = docs.select(F.coalesce(F.col(quoted(id_col)), F.lit(LAST)).alias("k"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     schema = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("n", pa.int32()), ("at", pa.list_(pa.int32())), ("words", pa.list_(pa.int32())), ("lines", pa.list_(pa.binary()))])
 
     def run(batches):
@@ -180,8 +182,10 @@ def deletions(table: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         last = left.groupBy("line").agg(F.max("k").alias("last"))
         # the next 2^number holders of each run, by place after the first
         low, number = 2**number, number + 1
-        ranked = shared.join(last, "line").where("k < last").select("line", F.col("k").alias("fk"), F.col("h").alias("fh")).withColumn("place", F.row_number().over(Window.partitionBy("line").orderBy("fk", "fh"))).where(F.col("place") <= 2 * low)
-        holders = checkpoint(ranked.where(F.col("place") > low).drop("place"))
+        ranked = shared.join(last, "line").where("k < last").select("line", F.col("k").alias("fk"), F.col("h").alias("fh"), F.pmod(F.xxhash64("k", "h"), F.lit(SALTS)).alias("salt"))
+        for keys in (("line", "salt"), ("line",)):  # a hot run is ranked in parts first, so few of its rows meet
+            ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("fk", "fh"))).where(F.col("place") <= 2 * low)
+        holders = checkpoint(ranked.where(F.col("place") > low).select("line", "fk", "fh"))
         pairs = checkpoint(left.join(holders, "line").where("k > fk").select("line", "k", "h", "fk", "fh"))
         if pairs.isEmpty():
             break
@@ -197,13 +201,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The later document is that of larger id, null last. Rows repeated in id (and rows of one id with different texts)
     don't delete each other's lines. A null text stays null, an empty table empty; all other columns stay as they are."""
     gone = deletions(checkpoint(line_table(docs, id_col, text_col).dropDuplicates(["k", "h"])), min_words).select(F.col("k").alias("__llm_k"), F.col("h").alias("__llm_h"), F.col("gone").alias("__llm_gone"))
-    marked = docs.withColumn("__llm_own_k", F.coalesce(F.col(id_col), F.lit(LAST))).withColumn("__llm_own_h", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    marked = docs.withColumn("__llm_own_k", F.coalesce(F.col(quoted(id_col)), F.lit(LAST))).withColumn("__llm_own_h", F.xxhash64(F.coalesce(F.col(quoted(text_col)), F.lit(""))))
     joined = marked.join(gone, (F.col("__llm_own_k") == F.col("__llm_k")) & (F.col("__llm_own_h") == F.col("__llm_h")), "left")
-    lines = F.split(F.col(text_col), "\n", -1)
+    lines = F.split(F.col(quoted(text_col)), "\n", -1)
     kept = F.filter(lines, lambda s, i: F.substring(F.col("__llm_gone"), i + 1, F.lit(1)) == F.lit(b"\x00"))
-    text = F.when(F.col("__llm_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    text = F.when(F.col("__llm_gone").isNull(), F.col(quoted(text_col))).otherwise(F.array_join(kept, "\n"))
     more = [F.coalesce(F.size(lines), F.lit(0)).cast("bigint").alias("__llm_lines"), F.when(F.col("__llm_gone").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(kept)).cast("bigint").alias("__llm_deleted")] if added else []
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], *more)
+    return joined.select(*[text.alias(name) if name == text_col else c for name, c in zip(docs.columns, all_columns(docs))], *more)
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
