@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD_SEPARATORS, checkpoint
+from .common import WORD_SEPARATORS, all_columns, checkpoint, quoted
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -71,6 +71,10 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, n_s
     return found.select("source", "source_size", "schedule", F.when(F.col("found").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("found") * F.col("w"))).alias("target"))
 
 
+def _row_hash(id_col: str, source_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(quoted(id_col)), F.col(quoted(source_col)), F.col(quoted(text_col)))
+
+
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, schedules=SCHEDULES) -> DataFrame:
     """A row for each row of docs: doc_id, h, source, size, source_size, target, schedule, taken, copies, first (words
     of the source's stream before the document) and stream (words the source gives in all).
@@ -78,8 +82,8 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     A source's documents stand in the order of a hash of id, source and text, and are taken round after round, whole,
     until the target is reached as nearly as whole documents allow. Null texts have size 0 and are not taken; a null
     source is a source; repeated rows stand together and are decided alike; an empty table gives an empty one."""
-    h = F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), h.alias("h"))
+    h = _row_hash(id_col, source_col, text_col)
+    rows = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(source_col)).alias("source"), n_words(F.col(quoted(text_col))).alias("size"), h.alias("h"))
     rows = checkpoint(rows.withColumn("bucket", F.shiftrightunsigned("h", 64 - BUCKETS.bit_length() + 1)))
     sums = checkpoint(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
     goal = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, n_schedules=len(schedules))
@@ -121,18 +125,18 @@ def position(row_copy: Column, schedules=SCHEDULES) -> Column:
     return time_at(F.coalesce(share, F.lit(0.0)), F.col("schedule"), schedules)
 
 
-def mix_table(docs: DataFrame, **columns) -> DataFrame:
+def mix_table(docs: DataFrame, schedules=SCHEDULES, **given) -> DataFrame:
     """plan_mix as a report in training order: one row for each row of docs, position being its first copy's time."""
-    plan = plan_mix(docs, **columns)
-    each = plan.withColumn("position", F.when(F.col("copies") > 0, position(F.lit(0)))).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    plan = plan_mix(docs, schedules=schedules, **given)
+    each = plan.withColumn("position", F.when(F.col("copies") > 0, position(F.lit(0), schedules))).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
     return each.select("doc_id", "size", "source_size", "target", "taken", "copies", "position").orderBy("position", "doc_id")
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, schedules=SCHEDULES) -> DataFrame:
     """The training stream: the rows of docs, each as often as it is taken, range-sorted by position; columns as in docs."""
-    plan = plan_mix(docs, id_col, text_col, source_col).where("copies > 0")
-    plan = plan.select(F.col("doc_id").alias("__llm_id"), F.col("h").alias("__llm_h"), F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda c: position(c)).alias("__llm_at"))
-    marked = docs.withColumn("__llm_row", F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col)))
-    same = (F.col("__llm_row") == F.col("__llm_h")) & F.col(id_col).eqNullSafe(F.col("__llm_id"))
+    plan = plan_mix(docs, id_col, text_col, source_col, weights, schedules).where("copies > 0")
+    plan = plan.select(F.col("doc_id").alias("__llm_id"), F.col("h").alias("__llm_h"), F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda c: position(c, schedules)).alias("__llm_at"))
+    marked = docs.withColumn("__llm_row", _row_hash(id_col, source_col, text_col))
+    same = (F.col("__llm_row") == F.col("__llm_h")) & F.col(quoted(id_col)).eqNullSafe(F.col("__llm_id"))
     copies = marked.join(plan, same).withColumn("__llm_position", F.explode("__llm_at"))
-    return copies.orderBy("__llm_position", "__llm_row").select(*docs.columns)
+    return copies.orderBy("__llm_position", "__llm_row").select(*all_columns(docs))
