@@ -20,6 +20,10 @@ POSITION_BITS = 24
 LEAST = -(1 << 63)
 
 
+#: Ranges of ids at most: what is broadcast of them stays under 2 MB, and a range is sorted on disk and read as a stream.
+MAX_RANGES = 1 << 16
+
+
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -120,31 +124,80 @@ def _row(doc: _Doc, after: _Doc) -> tuple:
     return doc.doc_id, n, hashlib.sha256(text).hexdigest(), digest(doc.chosen), digest(chosen), likeness(doc.distinct, np.unique(chosen[1])), likeness(doc.distinct, after.distinct), len(doc.chosen[0])
 
 
-def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 2 << 20, max_buckets: int = 4096) -> DataFrame:
+class Ranges:
+    """Ranges of (key, hash of the text), by ascending cuts of the key. A key that fills several ranges stands in the
+    cuts as often, and its rows are dealt to them by the hash."""
+
+    def __init__(self, cuts: list[int]) -> None:
+        self.cuts = np.array(sorted(cuts), np.int64)
+        self.heads: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+    def of(self, key: np.ndarray, h: np.ndarray) -> np.ndarray:
+        low, high = np.searchsorted(self.cuts, key, "left"), np.searchsorted(self.cuts, key, "right")
+        part = ((h.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)).astype(np.int64) * (high - low) >> 32
+        return low + np.where(high > low, 1 + part, 0)
+
+    def set_heads(self, rows: list) -> None:
+        """rows of (range, key, h): the greatest of each range that is not empty."""
+        rows = sorted((r.range, r.head.key, r.head.h) for r in rows)
+        self.heads = tuple(np.array([r[i] for r in rows], np.int64) for i in range(3))
+
+    def before(self, where: np.ndarray, key: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """For rows that head their range: the range that stands before it (descending, so above; after the lowest
+        comes the highest); -1 for others."""
+        place, keys, hashes = self.heads
+        at = np.searchsorted(place, where)
+        head = (keys[at] == key) & (hashes[at] == h)
+        return np.where(head, place[(at + 1) % len(place)], -1)
+
+
+def _ranges(rows: DataFrame, bucket_bytes: int) -> Ranges:
+    size = rows.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+    n = min(MAX_RANGES, max(1, size // bucket_bytes))
+    ranges = Ranges((rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 20 * n).alias("c")).first().c or []) if n > 1 else [])
+    schema = pa.schema([("range", pa.int32()), ("key", pa.int64()), ("h", pa.int64())])
+
+    def heads(batches):
+        for batch in batches:
+            key, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            where = ranges.of(key, h)
+            order = np.lexsort((h, key, where))
+            last = np.flatnonzero(np.append(where[order][1:] != where[order][:-1], True)) if len(order) else order
+            yield batch_of(schema, [where[order][last], key[order][last], h[order][last]])
+
+    found = rows.select("key", "h").mapInArrow(heads, "range int, key bigint, h bigint").groupBy("range").agg(F.max(F.struct("key", "h")).alias("head"))
+    ranges.set_heads(found.collect())  # one row for each range
+    return ranges
+
+
+def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 2 << 20) -> DataFrame:
     """Each document with its edited form (its last half replaced by the beginning of the next) and both fingerprints.
 
-    Documents stand in descending doc_id, null last, rows of one id by text; after the last comes the first. Texts
-    are shuffled once, to ranges of doc_id; the first document of each range also goes to the range before it, so
-    that no task needs another's rows. A null text is empty; an empty table gives an empty one."""
-    rows = id_text(docs, id_col, text_col).withColumn("key", F.coalesce("doc_id", F.lit(LEAST)))
-    size = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n")).first()
-    n = min(max_buckets, max(1, (size["bytes"] or 0) // bucket_bytes))
-    cuts = sorted(set(rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 20 * n).alias("c")).first().c or [])) if n > 1 else []
-    bucket = F.size(F.filter(F.array(*[F.lit(c).cast("bigint") for c in cuts]), lambda c: c <= F.col("key"))) if cuts else F.lit(0)
-    dealt = rows.withColumn("bucket", bucket)
-    heads = {r.bucket: r.head for r in dealt.groupBy("bucket").agg(F.max("key").alias("head")).collect()}  # one row for each range
-    order = sorted(heads, reverse=True)
-    also = F.create_map(*[x for i, b in enumerate(order) for x in (F.lit(heads[b]).cast("bigint"), F.lit(order[i - 1]))]) if order else F.create_map(F.lit(0).cast("bigint"), F.lit(0))
-    places = F.when(also[F.col("key")].isNotNull(), F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("edge")), F.struct(also[F.col("key")].alias("b"), F.lit(1).alias("edge")))).otherwise(F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("edge"))))
-    sent = dealt.withColumn("place", F.explode(places)).select("place.b", "place.edge", "key", "doc_id", "text")
+    Documents stand in descending doc_id, null last, rows of one id by a hash of the text, then the text; after the last
+    comes the first. Texts are shuffled once, to ranges of that order; the first document of each range also goes to the
+    range before it, so that no task needs another's rows. A range of any size is read as a stream: two documents are
+    held. A null text is empty; an empty table gives an empty one."""
+    rows = id_text(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(LEAST)).alias("key"), F.xxhash64("text").alias("h"), "doc_id", "text")
+    ranges = _ranges(rows, bucket_bytes)
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("n_selected", pa.int64())])
 
+    def deal(batches):
+        for batch in batches:
+            key, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            where = ranges.of(key, h)
+            before = ranges.before(where, key, h)
+            for edge, at, place in ((0, None, where), (1, np.flatnonzero(before >= 0), before)):
+                part = batch if at is None else batch.take(pa.array(at))
+                if part.num_rows:
+                    place = place if at is None else place[at]
+                    yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), pa.array(np.full(len(place), edge, np.int32)), *part.columns], names=["b", "edge", "key", "h", "doc_id", "text"])
+
     def run(batches):
         now, last, done = None, None, True
         for batch in batches:
             for part in in_slices(batch, 4 << 20):
                 out = []
-                for b, edge, doc_id, text in zip(*(part.column(i).to_pylist() for i in (0, 1, 3, 4))):
+                for b, edge, doc_id, text in zip(*(part.column(i).to_pylist() for i in (0, 1, 4, 5))):
                     if b != now:
                         now, last, done = b, None, False
                     if done:
@@ -156,5 +209,6 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 if out:
                     yield batch_of(schema, [list(c) for c in zip(*out)])
 
-    ordered = sent.repartition("b").sortWithinPartitions("b", "edge", F.desc("key"), "text")
+    sent = rows.mapInArrow(deal, "b int, edge int, key bigint, h bigint, doc_id bigint, text string")
+    ordered = sent.repartition("b").sortWithinPartitions("b", "edge", F.desc("key"), F.desc("h"), "text")
     return ordered.mapInArrow(run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_selected bigint")
