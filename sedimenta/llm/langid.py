@@ -7,13 +7,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import batch_of, crc_mod, id_text, in_slices
+from .common import batch_of, crc_mod, id_text, in_slices, quoted
 
 DIMENSIONS = 4096
 N_GRAMS = (1, 2, 3)
-#: Bounds of what is fitted on the driver: documents sampled for each language, and languages.
+#: Bounds of what the centroids are fitted on: documents drawn for each language, in the mean, and languages.
 SAMPLE = 400
 MAX_LANGUAGES = 1000
 CENTROIDS = 3
@@ -76,25 +75,16 @@ def document_frequencies(learn: DataFrame) -> tuple[int, np.ndarray]:
     return found.get(-1, 0), np.array([found.get(d, 0) for d in range(DIMENSIONS)])
 
 
-def _sample(learn: DataFrame, size: int) -> list:
-    """(lang, counts) of the `size` documents of each language that come first in the order of a hash."""
-    keyed = learn.select("doc_id", "lang", F.xxhash64("doc_id", "text").alias("h"))
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = keyed.withColumn("k", F.row_number().over(order)).where(F.col("k") <= size).select("h").distinct()
-    schema = pa.schema([("lang", pa.string()), ("dims", pa.binary()), ("counts", pa.binary())])
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts = n_gram_counts(text)
-                at = np.flatnonzero(counts)
-                rows.append((lang, at.astype("<i4").tobytes(), counts[at].astype("<i8").tobytes()))
-            if rows:
-                yield batch_of(schema, [list(c) for c in zip(*rows)])
-
-    texts = learn.withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(chosen), "h").select("lang", "text")
-    return texts.mapInArrow(run, "lang string, dims binary, counts binary").orderBy("lang", "dims", "counts").limit(2 * size * MAX_LANGUAGES).collect()
+def _sample(learn: DataFrame, size: int) -> DataFrame:
+    """(lang, text) of about `size` documents of each language, all where there are fewer: those whose hash of id and
+    text is below the language's share. A repeated row counts once. More than MAX_LANGUAGES languages are an error."""
+    keyed = learn.withColumn("h", F.xxhash64("doc_id", "text"))
+    found = keyed.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
+    shares = learn.sparkSession.createDataFrame([(r.lang, 1.0 if r.n <= 1.2 * size else size / r.n) for r in found], "lang string, share double")
+    drawn = keyed.join(F.broadcast(shares), "lang").where(F.shiftrightunsigned("h", 11) < F.col("share") * F.lit(float(1 << 53)))
+    return drawn.dropDuplicates(["lang", "h"]).select("lang", "text")
 
 
 def _cluster(x: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
@@ -117,23 +107,20 @@ def fit(learn: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> dict:
     if not n:
         return {"idf": np.ones(DIMENSIONS, np.float32), "langs": [], "centroids": np.zeros((0, DIMENSIONS), np.float32), "limits": np.zeros(0)}
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + 1
-    rows = _sample(learn, sample)
-    by_lang: dict[str, list] = {}
-    for r in rows:
-        counts = np.zeros(DIMENSIONS, np.int64)
-        counts[np.frombuffer(r.dims, "<i4")] = np.frombuffer(r.counts, "<i8")
-        by_lang.setdefault(r.lang, []).append(counts)
-    langs, centroids, limits = [], [], []
-    for lang in sorted(by_lang):
-        x = _vectors(np.array(by_lang[lang]), idf)
+    schema = pa.schema([("lang", pa.string()), ("centroid", pa.binary()), ("limit", pa.float64())])
+
+    def one(group: pa.Table) -> pa.Table:
+        # sorted, so that the centroids don't hang on the order of rows
+        x = _vectors(np.array(sorted(map(tuple, (n_gram_counts(t) for t in group["text"].to_pylist())))), idf)
         c = _cluster(x, k)
         best = x @ c.T
-        for i in range(len(c)):
-            near = best[best.argmax(1) == i, i]
-            langs.append(lang)
-            centroids.append(c[i])
-            limits.append(float(np.quantile(near, REJECT_SHARE)) if len(near) else 0.0)
-    return {"idf": idf, "langs": langs, "centroids": np.array(centroids, np.float32), "limits": np.array(limits)}
+        near = [best[best.argmax(1) == i, i] for i in range(len(c))]
+        limits = [float(np.quantile(n, REJECT_SHARE)) if len(n) else 0.0 for n in near]
+        return pa.Table.from_batches([batch_of(schema, [[group["lang"][0].as_py()] * len(c), [v.astype("<f4").tobytes() for v in c], limits])])
+
+    rows = _sample(learn, sample).groupBy("lang").applyInArrow(lambda group: one(group), "lang string, centroid binary, limit double").collect()  # k vectors a language
+    rows.sort(key=lambda r: (r.lang, bytes(r.centroid)))
+    return {"idf": idf, "langs": [r.lang for r in rows], "centroids": np.array([np.frombuffer(r.centroid, "<f4") for r in rows]), "limits": np.array([r["limit"] for r in rows])}
 
 
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,5 +149,5 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 def identify(docs: DataFrame, folds: int = 3, held_fold: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Fit on the rows whose crc32(id) modulo folds is not held_fold and predict all: predict's columns and held_out."""
     held: Column = crc_mod("doc_id", folds) == held_fold
-    learn = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).alias("lang")).where(~held)
+    learn = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"), F.col(quoted(lang_col)).alias("lang")).where(~held)
     return predict(docs, fit(learn), id_col, text_col).withColumn("held_out", held)
