@@ -1,6 +1,8 @@
 """Each llm query against a brute-force version on a small fixture, and the defined results of odd rows."""
 
+import gzip
 import hashlib
+import json
 import math
 import random
 import zlib
@@ -179,6 +181,48 @@ def test_mixing(docs, rows, empty):
     assert mixing.mix_table(empty).collect() == [] and mixing.mixed(empty).collect() == []
 
 
+def test_mixing_against_brute_force(spark):
+    """Taken words, targets and training times of the caller's weights and schedules, source by source."""
+    rng = random.Random(31)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 40)), rng.choice(["a", "b", "b", "c", None])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("a.b", F.lit(1))
+    weights, schedules = (2.0, 1.0), (((0.0, 0.0), (1.0, 1.0)), ((0.0, 1.0), (0.5, 0.0), (1.0, 1.0)))
+    order = ["a", "b", "c", None]
+    sizes = {s: sum(len(words(r[1])) for r in rows if r[2] == s) for s in order}
+    total, left, target = sum(sizes.values()), set(order), {}
+    while left:
+        share = (total - sum(target.values())) / sum(weights[order.index(s) % 2] for s in left)
+        over = [s for s in left if share * weights[order.index(s) % 2] > 3 * sizes[s]]
+        if not over:
+            target |= {s: share * weights[order.index(s) % 2] for s in left}
+            break
+        target |= {s: 3.0 * sizes[s] for s in over}
+        left -= set(over)
+    got = {r.doc_id: r for r in mixing.mix_table(df, weights=weights, schedules=schedules).collect()}
+    plan = {r.doc_id: r for r in mixing.plan_mix(df, weights=weights, schedules=schedules).collect()}
+    for k, s in enumerate(order):
+        own = [r for r in rows if r[2] == s]
+        taken, longest = sum(got[r[0]].taken for r in own), max(len(words(r[1])) for r in own)
+        assert abs(taken - target[s]) <= longest / 2 + 1 or taken == 3 * sizes[s]
+        stream = sorted((r for r in own), key=lambda r: plan[r[0]].before)
+        before, fine = 0, np.linspace(0, 1, 40001)
+        density = np.interp(fine, [p[0] for p in schedules[k % 2]], [p[1] for p in schedules[k % 2]])
+        done = np.concatenate(([0], np.cumsum((density[1:] + density[:-1]) / 2)))
+        done /= done[-1]
+        for r in stream:
+            row, size = got[r[0]], len(words(r[1]))
+            assert row["size"] == size and row.target == pytest.approx(target[s]) and row.taken == row.copies * size <= 3 * size
+            if size:
+                assert plan[r[0]].before == before
+            if row.copies:
+                assert row.position == pytest.approx(float(np.interp(min(1, (before + size / 2) / target[s]), done, fine)), abs=2e-3)
+            before += size
+    stream = mixing.mixed(df, weights=weights, schedules=schedules)
+    assert stream.columns == df.columns and Counter(r.doc_id for r in stream.collect()) == Counter({i: r.copies for i, r in got.items() if r.copies})
+    nulls = df.select("doc_id", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("source"))
+    assert all(r.taken == 0 for r in mixing.mix_table(nulls).collect()) and mixing.mixed(nulls).collect() == []
+
+
 def test_water_filling(spark):
     t = {r.source: r.target for r in mixing.targets(spark.createDataFrame([("a", 1000), ("b", 10), ("c", 90), (None, 0)], "source string, source_size long")).collect()}
     # weights 1, 2, 3, 1: b stops at 30 and c at 270, the rest goes to a
@@ -376,9 +420,47 @@ def test_winnowing(docs, rows):
         text, after = r[1] or "", stand[(i + 1) % len(stand)][1] or ""
         half = len(text) // 2
         want[r[0], len(text), hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()] += 1
-    got = winnow.edited_likeness(docs, bucket_bytes=2000)
-    assert multiset(got, "doc_id", "n_chars", "edited_sha256") == want
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got.collect())
+    for size in (2000, 1 << 20):
+        got = winnow.edited_likeness(docs, bucket_bytes=size)
+        assert multiset(got, "doc_id", "n_chars", "edited_sha256") == want
+    marks = {}
+
+    def chosen(text):
+        """Winnowing by its definition, over the grams' own hashes."""
+        if text not in marks:
+            values, places = [int(x) >> 24 for x in winnow.gram_hashes(winnow.code_points(text))], set()
+            for i in range(max(1, len(values) - 15) if values else 0):
+                part = values[i : i + 16]
+                places.add(i + max(j for j, v in enumerate(part) if v == min(part)))
+            marks[text] = {values[i] for i in places}
+        return marks[text]
+
+    alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    near = Counter()
+    for i, r in enumerate(stand):
+        text, after = r[1] or "", stand[(i + 1) % len(stand)][1] or ""
+        half = len(text) // 2
+        near[r[0], round(alike(chosen(text), chosen(text[: len(text) - half] + after[:half])), 9), round(alike(chosen(text), chosen(after)), 9)] += 1
+    assert Counter((r.doc_id, round(r.near_edited, 9), round(r.near_next, 9)) for r in got.collect()) == near
+    by_text = {}
+    for r in got.collect():
+        by_text.setdefault(r.edited_sha256, set()).add(r.edited_fingerprint)
+    assert all(len(x) == 1 for x in by_text.values())
+
+
+def test_winnowing_splits_a_hot_id(spark):
+    texts = [f"text number {i} of a row without an id, long enough for a gram or two" for i in range(300)]
+    rows = [(None, t) for t in texts] + [(i, t[::-1]) for i, t in enumerate(texts[:60])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = df.select(F.coalesce("doc_id", F.lit(winnow.LEAST)).alias("key"), F.xxhash64("text").alias("h"), "text")
+    ranges = winnow._ranges(keyed, 1000)
+    got = keyed.collect()
+    used = Counter(ranges.of(np.array([r.key for r in got]), np.array([r.h for r in got])).tolist())
+    assert max(used.values()) < 60
+    order = sorted(got, key=lambda r: (r.key, r.h), reverse=True)
+    after = {r.text: order[(i + 1) % len(order)].text for i, r in enumerate(order)}
+    want = Counter(hashlib.sha256((t[: len(t) - len(t) // 2] + after[t][: len(t) // 2]).encode()).hexdigest() for t in after)
+    assert Counter(r.edited_sha256 for r in winnow.edited_likeness(df, bucket_bytes=1000).collect()) == want
 
 
 def test_winnowing_rightmost():
@@ -403,6 +485,39 @@ def test_language(spark):
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i in got)
 
 
+def test_many_languages_and_repeats(spark):
+    """30 languages, one row of the first a thousand times, against centroids and cosines in plain Python."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(30):
+        own = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 6))) for _ in range(25)]
+        rows += [(100 * k + i, " ".join(rng.choices(own, k=25)), f"l{k:02}") for i in range(8)]
+    rows += [rows[0]] * 1000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(df).distinct().collect()
+    assert len(got) == 240 and all(r.lang_pred == f"l{r.doc_id // 100:02}" for r in got)
+    learn = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    counts = {r: langid.n_gram_counts(r[1]) for r in set(rows)}
+    df_of = sum((counts[r] > 0).astype(int) for r in learn)
+    idf = np.log((1 + len(learn)) / (1 + df_of)) + 1
+    unit = lambda x: x / max(np.linalg.norm(x), 1e-9)
+    vectors = {r: unit(np.log1p(counts[r]) * idf) for r in counts}
+    model = langid.fit(df.where("crc32(cast(cast(doc_id as string) as binary)) % 3 != 1"))
+    assert len(set(model["langs"])) == 30
+    centroids = [unit(c.astype(float)) for c in model["centroids"]]
+    by = {r.doc_id: r for r in got}
+    for r, v in vectors.items():
+        cos = [float(v @ c) for c in centroids]
+        assert by[r[0]].score == pytest.approx(max(cos), abs=1e-4) and by[r[0]].lang_pred == model["langs"][int(np.argmax(cos))]
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 3)
+    df = spark.createDataFrame([(i, "a b", f"l{i}") for i in range(9)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        langid.identify(df)
+
+
 def test_lm_scoring(docs, rows, monkeypatch):
     monkeypatch.setattr(lm_scoring, "HEAD_TOKENS", 60)
     held = lambda r: r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 1
@@ -466,14 +581,54 @@ def test_warc(spark):
     rows = warc.derivatives(warc.responses(pages)).collect()
     assert len(rows) == 6
     for r in rows:
-        h = source[r.source_id].headers
-        assert r.headers["WARC-Refers-To"] == h["WARC-Record-ID"] and r.headers["WARC-Source-Payload-Digest"] == h["WARC-Payload-Digest"]
-        assert r.headers["WARC-Block-Digest"] == warc.digest(bytes(r.block)) and int(r.headers["Content-Length"]) == len(r.block)
-        assert [(dict(r.headers), bytes(r.block))] == list(warc.parse(bytes(r.record)))
+        h, own = dict(source[r.source_id].headers), dict(r.headers)
+        assert own["WARC-Refers-To"] == h["WARC-Record-ID"] and own["WARC-Source-Payload-Digest"] == h["WARC-Payload-Digest"]
+        assert own["WARC-Block-Digest"] == warc.digest(bytes(r.block)) and int(own["Content-Length"]) == len(r.block)
+        assert [([tuple(x) for x in r.headers], bytes(r.block))] == list(warc.parse(bytes(r.record)))
     text = next(bytes(r.block).decode() for r in rows if r.source_id == 1 and r.record_type == "conversion")
     assert text == "One two\nthree\nx < y 1 < 2"
 
 
+def test_warc_report_equals_the_two_steps(spark):
+    pages = spark.createDataFrame([(1, "http://e.org/", "<p>a"), (2, None, None), (3, "u", "é" * 9)], "page_id long, url string, html string")
+    want = Counter((r.source_id, r.record_type, hashlib.sha256(r.record).hexdigest()) for r in warc.derivatives(warc.responses(pages)).collect())
+    assert multiset(warc.report(pages), "page_id", "record_type", "record_sha256") == want
+    assert warc.report(pages.limit(0)).collect() == [] and warc.derivatives(warc.responses(pages).limit(0)).collect() == []
+
+
+def test_warc_tags():
+    assert warc.scan_html('<a title="x > y" href="/l">link</a>') == ("link", {"Title": "", "Metas": [], "Links": [{"path": "A@/href", "url": "/l"}]})
+    assert warc.scan_html("<p don't>a</p><b x=\"1>b")[0] == "a\nb"
+
+
+def test_warc_files(spark, tmp_path):
+    """Headers without spaces, in other cases, repeated and folded; encodings and charsets; gzip members; a cut tail."""
+    page = "<title>é</title><p>naïve"
+    chunked = lambda b: b"".join(b"%x;x=1\r\n%s\r\n" % (len(b[i : i + 7]), b[i : i + 7]) for i in range(0, len(b), 7)) + b"0\r\n\r\n"
+    bodies = [
+        ("Content-Type:text/html; charset=latin-1\r\nSet-Cookie: a\r\nset-cookie: b", page.encode("latin-1")),
+        ("content-type: text/html\r\nTransfer-Encoding: chunked\r\nContent-Encoding: gzip", chunked(gzip.compress(page.encode()))),
+        ("Content-Type: text/html\r\nContent-Encoding: deflate", zlib.compress(f"<meta charset=utf-8>{page}".encode())),
+        ("Content-Type: image/png", b"\x89PNG"),
+        ("Content-Type: text/plain", b"a < b\n"),
+    ]
+    data = b""
+    for i, (head, body) in enumerate(bodies):
+        block = f"HTTP/1.1 200 OK\r\n{head}\r\n\r\n".encode() + body
+        record = f"WARC/1.1\r\nwarc-type:response\r\nWARC-Record-ID:<urn:{i}>\r\nWARC-Concurrent-To: <x>\r\nWARC-Concurrent-To: <y>\r\nX-Long: a\r\n b\r\ncontent-length:{len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+        data += gzip.compress(record)
+    (tmp_path / "a.warc.gz").write_bytes(data + gzip.compress(record)[:-9])
+    records = warc.read_warc(spark, str(tmp_path / "a.warc.gz"))
+    rows = warc.derivatives(records).collect()
+    of = {(dict(r.headers)["WARC-Refers-To"], r.record_type): bytes(r.block).decode() for r in rows}
+    assert sorted(of) == sorted([(f"<urn:{i}>", "metadata") for i in range(5)] + [(f"<urn:{i}>", "conversion") for i in (0, 1, 2, 4)])
+    assert [of[f"<urn:{i}>", "conversion"] for i in (0, 1, 2, 4)] == ["naïve"] * 3 + ["a < b\n"]
+    meta = json.loads(of["<urn:0>", "metadata"])["Envelope"]
+    assert [v for k, v in meta["WARC-Header-Metadata"] if k == "WARC-Concurrent-To"] == ["<x>", "<y>"] and ["X-Long", "a b"] in meta["WARC-Header-Metadata"]
+    found = meta["Payload-Metadata"]["HTTP-Response-Metadata"]
+    assert [v for k, v in found["Headers"] if k.lower() == "set-cookie"] == ["a", "b"] and found["HTML-Metadata"]["Title"] == "é"
+
+
 def test_empty_tables(empty):
     for f in (lm_scoring.score_documents, line_dedup.report, quality.judge, quality.keep_good, substring.removed_words, winnow.edited_likeness, simhash.near_duplicates, neardup.keep_one, langid.identify, line_dedup.dedup_lines):
         assert f(empty).collect() == [], f
