@@ -1,9 +1,10 @@
 """Language-model scoring with a gated recurrent network in numpy.
 
 Counts of all learning tokens give the unigram base, the model's vocabulary and its frequency-binned output classes.
-The network starts as that unigram model and is trained by truncated backpropagation on every part of the input at
-once; the parts' weights are averaged by their tokens after each round. Scoring carries the state across windows, so a
-document of any length has one exact log-likelihood.
+The network starts as that unigram model and is trained by truncated backpropagation on every token of every learning
+document: shards, dealt by a hash and sorted, train copies side by side, whose weights are averaged by their tokens. So
+the weights are a function of the table. Scoring carries the state across windows, so a document of any length has one
+exact log-likelihood.
 """
 
 from __future__ import annotations
@@ -12,25 +13,29 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_of, byte_column, checkpoint, crc_mod, id_text, in_slices
+from .wordhash import Words, slices, words_of
 
 END = b""  # no word is empty
-#: Bounds of what is sent to every executor: the commonest tokens, their length, and those that the model knows.
+#: Bounds of what is sent to every executor: the commonest tokens and their length.
 HEAD_TOKENS = 1 << 17
 HEAD_BYTES = 64
+#: Tokens that the model knows, of 4 million learning tokens; they grow with the fourth root of that number.
 MODEL_TOKENS = 4096
-CLASSES = 48
 HIDDEN = 16
-STEPS = 24
-TRAIN_LANES = 32
+STEPS = 32
+TRAIN_LANES = 64
+#: Text of one training shard.
+SHARD_BYTES = 16 << 20
 SCORE_LANES = 320
 SCORE_STEPS = 96
 #: Each takes every token of every learning document.
 ROUNDS = 1
-RATE = 0.15
+RATE = 0.2
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -81,22 +86,62 @@ class Vocabulary:
         self.ids = {t: i for i, (t, _) in enumerate(head)}
         self.logs = np.log10(np.array([c for _, c in head], float) + 0.5) if head else np.zeros(0)
         self.base = float(np.log10(n_tokens + 0.5 * (n_types + 1)))
-        self.m = min(MODEL_TOKENS - 1, len(head))  # known to the model; id m stands for all others
+        size = int(MODEL_TOKENS * max(1.0, n_tokens / (1 << 22)) ** 0.25)
+        self.m = min(size - 1, len(head))  # known to the model; id m stands for all others
+        classes = max(2, int(0.75 * (self.m + 1) ** 0.5))
         known = np.array([c for _, c in head[: self.m]], float) + 0.5
         self.rest = max(0.5, n_tokens + 0.5 * (n_types + 1) - known.sum())
         mass = np.append(known, self.rest)
         share = np.cumsum(np.sqrt(known)) / max(np.sqrt(known).sum(), 1e-9)
-        cls = np.minimum((share * (CLASSES - 1)).astype(int), CLASSES - 2) if self.m else np.zeros(0, int)
-        _, cls = np.unique(np.append(cls, CLASSES), return_inverse=True)
+        cls = np.minimum((share * (classes - 1)).astype(int), classes - 2) if self.m else np.zeros(0, int)
+        _, cls = np.unique(np.append(cls, classes), return_inverse=True)
         self.cls = cls.astype(np.int32)  # ascending, as commoner tokens come first
         self.n_cls = int(cls[-1]) + 1
         self.starts = np.searchsorted(cls, np.arange(self.n_cls + 1))
         self.mass = mass
 
-    def ids_of(self, tokens: list[bytes]) -> np.ndarray:
-        """Ids within the head; len(head) for others."""
-        get, none = self.ids.get, len(self.ids)
-        return np.array([get(t, none) for t in tokens], np.int64)
+    def index(self) -> None:
+        """Look-up tables of the head by the hashes of its tokens; made by each worker, as they aren't sent."""
+        tokens = [t for t in self.ids if t != END]
+        h = words_of(pa.array(tokens, pa.binary())).hashes
+        ids = np.array([self.ids[t] for t in tokens], np.int64)
+        self.shift = np.uint64(64 - max(8, 2 + int(len(tokens)).bit_length()))
+        slot = h >> self.shift
+        self.table = np.full(1 << 64 - int(self.shift), -1, np.int64)
+        self.table[slot[::-1]] = np.arange(len(h))[::-1]  # the first of those that share a slot
+        self.keys, self.key_ids = np.append(h, np.uint64(0)), np.append(ids, 0)
+        others = np.flatnonzero(self.table[slot] != np.arange(len(h)))
+        order = others[np.argsort(h[others])]
+        self.other_keys, self.other_ids = h[order], ids[order]
+
+    def ids_of(self, words: Words) -> np.ndarray:
+        """Ids of words within the head; len(head) for others."""
+        if not hasattr(self, "table"):
+            self.index()
+        none, h = len(self.ids), words.hashes
+        at = self.table[h >> self.shift]
+        hit = (self.keys[at] == h) & (at >= 0)
+        out = np.where(hit, self.key_ids[at], none)
+        missed = np.flatnonzero(~hit & (at >= 0))
+        if len(missed) and len(self.other_keys):
+            place = np.minimum(np.searchsorted(self.other_keys, h[missed]), len(self.other_keys) - 1)
+            found = self.other_keys[place] == h[missed]
+            out[missed[found]] = self.other_ids[place[found]]
+        return out
+
+    def sequences(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text: the end, its words, the end, as ids within the head, one text after another; and where each begins."""
+        counts, end = words.counts(), self.ids.get(END, len(self.ids))
+        starts = np.concatenate(([0], np.cumsum(counts + 2)))
+        out = np.full(int(starts[-1]), end, np.int64)
+        inside = np.ones(len(out), bool)
+        inside[starts[:-1]] = inside[starts[1:] - 1] = False
+        out[inside] = self.ids_of(words)
+        return out, starts
+
+    def __getstate__(self):
+        tables = ("table", "keys", "key_ids", "other_keys", "other_ids", "shift")
+        return {k: x for k, x in self.__dict__.items() if k not in tables}
 
 
 Weights = dict[str, np.ndarray]
@@ -108,59 +153,105 @@ def start_weights(v: Vocabulary, seed: int = 7) -> Weights:
     per_class = np.add.reduceat(v.mass, v.starts[:-1])
     return {
         "x": small(n, 3 * HIDDEN), "u": small(HIDDEN, 3 * HIDDEN), "b": np.zeros(3 * HIDDEN, np.float32),
-        "c": small(HIDDEN, v.n_cls) * 0, "cb": np.log(per_class).astype(np.float32) - np.float32(np.log(per_class.sum())),
-        "w": small(n, HIDDEN) * 0, "wb": np.log(v.mass).astype(np.float32),
+        "c": small(HIDDEN, v.n_cls) * 0, "cb": np.log(per_class / per_class.sum()).astype(np.float32),
+        "w": small(n, HIDDEN) * 0, "wb": np.log(v.mass / per_class[v.cls]).astype(np.float32),
     }
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
-
-
-def step(w: Weights, token: np.ndarray, h: np.ndarray):
-    """One gated step: update gate z, reset gate r, candidate n; h' = z h + (1 - z) n."""
+#: sigmoid(a) is (1 + tanh(a / 2)) / 2: the gates' share of the inputs is halved, so one tanh serves them.
+_HALF = np.array([0.5] * 2 * HIDDEN + [1.0] * HIDDEN, np.float32)
+
+
+def forward(w: Weights, x: np.ndarray, h: np.ndarray):
+    """States after each step of tokens x (steps x lanes), from state h; and the gates z, r, the candidate n, and the
+    candidate's recurrent part. Update gate z, reset gate r: h' = z h + (1 - z) n."""
+    k, half = HIDDEN, _HALF.astype(h.dtype)
+    u, a = w["u"] * half, ((w["x"] + w["b"]) * half)[x] if len(w["x"]) < x.size else (w["x"][x] + w["b"]) * half
+    hs, gates, cand, gn = (np.empty((*x.shape, n), h.dtype) for n in (k, 2 * k, k, k))
+    for t in range(len(x)):
+        g = h @ u
+        z = gates[t]
+        np.add(a[t, :, : 2 * k], g[:, : 2 * k], out=z)
+        np.tanh(z, out=z)
+        z += 1
+        z *= 0.5
+        gn[t] = g[:, 2 * k :]
+        n = cand[t]
+        np.multiply(z[:, k:], gn[t], out=n)
+        n += a[t, :, 2 * k :]
+        np.tanh(n, out=n)
+        h = h - n
+        h *= z[:, :k]
+        h += n
+        hs[t] = h
+    return hs, gates, cand, gn
+
+
+def backward(w: Weights, h0: np.ndarray, hs: np.ndarray, gates: np.ndarray, cand: np.ndarray, gn: np.ndarray, d_all: np.ndarray):
+    """Gradients by input (steps x lanes x 3 HIDDEN) and by the recurrent weights, of what has gradient d_all by hs."""
     k = HIDDEN
-    a = w["x"][token] + w["b"]
-    g = h @ w["u"]
-    zr = _sigmoid(a[:, : 2 * k] + g[:, : 2 * k])
-    z, r = zr[:, :k], zr[:, k:]
-    n = np.tanh(a[:, 2 * k :] + r * g[:, 2 * k :])
-    return n + z * (h - n), (z, r, n, g[:, 2 * k :])
-
-
-def _log_softmax(x):
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+    before = np.concatenate((h0[None], hs[:-1]))
+    z, r = gates[..., :k], gates[..., k:]
+    by_n = (1 - z) * (1 - cand * cand)
+    by_z = (before - cand) * z * (1 - z)
+    by_r = gn * r * (1 - r)
+    da, dg = np.empty((*hs.shape[:2], 3 * k), hs.dtype), np.empty((*hs.shape[:2], 3 * k), hs.dtype)
+    dh, back = np.zeros_like(h0), np.ascontiguousarray(w["u"].T)
+    for t in range(len(hs) - 1, -1, -1):
+        dh = dh + d_all[t]
+        n = dh * by_n[t]
+        np.multiply(dh, by_z[t], out=dg[t, :, :k])
+        np.multiply(n, by_r[t], out=dg[t, :, k : 2 * k])
+        np.multiply(n, r[t], out=dg[t, :, 2 * k :])
+        da[t, :, 2 * k :] = n
+        dh *= z[t]
+        dh += dg[t] @ back
+    da[..., : 2 * k] = dg[..., : 2 * k]
+    return da, before.reshape(-1, k).T @ dg.reshape(-1, 3 * k)
+
+
+def _softmax(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log-probability of column at[i] of each row; x becomes the probabilities. Logits stay far below 60 (steps are
+    clipped), so no maximum need be taken off."""
+    np.minimum(x, 60, out=x)
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return np.log(x[np.arange(len(x)), at])
 
 
 def output(w: Weights, v: Vocabulary, h: np.ndarray, target: np.ndarray, gradient: bool = False):
     """Natural log-probability of each target: that of its class, and within its class. With gradient also d/dh and
     the weights' gradients of the summed negative log-probability."""
+    order = np.argsort(target, kind="stable")  # classes are runs of ids
+    target, h = target[order], h[order]
     cls = v.cls[target]
-    logits = _log_softmax(h @ w["c"] + w["cb"])
-    out = logits[np.arange(len(h)), cls].astype(np.float64)
-    order = np.argsort(cls, kind="stable")
-    edges = np.searchsorted(cls[order], np.arange(v.n_cls + 1))
+    edges = np.searchsorted(cls, np.arange(v.n_cls + 1))
+    x = h @ w["c"]
+    x += w["cb"]
+    out = _softmax(x, cls).astype(np.float64)
     if gradient:
-        d = np.exp(logits)
-        d[np.arange(len(h)), cls] -= 1
-        grads = {"c": h.T @ d, "cb": d.sum(0), "w": np.zeros_like(w["w"]), "wb": np.zeros_like(w["wb"])}
-        dh = d @ w["c"].T
-    for c in range(v.n_cls):
-        a, b = v.starts[c], v.starts[c + 1]
-        rows = order[edges[c] : edges[c + 1]]
-        if not len(rows) or b - a == 1:
-            continue
-        inner = _log_softmax(h[rows] @ w["w"][a:b].T + w["wb"][a:b])
+        x[np.arange(len(h)), cls] -= 1
+        grads = {"c": h.T @ x, "cb": x.sum(0), "w": np.zeros_like(w["w"]), "wb": np.zeros_like(w["wb"])}
+        dh = x @ w["c"].T
+    for c in np.flatnonzero((np.diff(edges) > 0) & (np.diff(v.starts) > 1)).tolist():
+        a, b, rows = v.starts[c], v.starts[c + 1], slice(edges[c], edges[c + 1])
+        own = h[rows]
+        x = own @ w["w"][a:b].T
+        x += w["wb"][a:b]
         at = target[rows] - a
-        out[rows] += inner[np.arange(len(rows)), at]
+        out[rows] += _softmax(x, at)
         if gradient:
-            d = np.exp(inner)
-            d[np.arange(len(rows)), at] -= 1
-            grads["w"][a:b] = d.T @ h[rows]
-            grads["wb"][a:b] = d.sum(0)
-            dh[rows] += d @ w["w"][a:b]
-    return (out, dh, grads) if gradient else out
+            x[np.arange(len(x)), at] -= 1
+            grads["w"][a:b] = x.T @ own
+            grads["wb"][a:b] = x.sum(0)
+            dh[rows] += x @ w["w"][a:b]
+    back = np.empty(len(out))
+    back[order] = out
+    if not gradient:
+        return back
+    by_h = np.empty_like(dh)
+    by_h[order] = dh
+    return back, by_h, grads
 
 
 class _Lanes:
@@ -199,76 +290,55 @@ def score_all(w: Weights, v: Vocabulary, sequences: list[np.ndarray]) -> np.ndar
     """Natural log-likelihood of each sequence after its first token, the state carried through all its windows."""
     out = np.zeros(len(sequences))
     state = np.zeros((min(SCORE_LANES, len(sequences)), HIDDEN), np.float32)
-    # sigmoid(a) is (1 + tanh(a / 2)) / 2: gates are halved beforehand, so one tanh serves both
-    k, half = HIDDEN, np.array([0.5] * 2 * HIDDEN + [1.0] * HIDDEN, np.float32)
-    inputs, u = (w["x"] + w["b"]) * half, w["u"] * half
     for live, who, new, x, y, real in _Lanes(sequences, SCORE_LANES, SCORE_STEPS):
         state[live[new]] = 0
-        h, hs = state[live], np.empty((*x.shape, k), np.float32)
-        for t in range(len(x)):
-            a, g = inputs.take(x[t], 0), h @ u
-            gates = np.tanh(a[:, : 2 * k] + g[:, : 2 * k])
-            gates *= 0.5
-            gates += 0.5
-            g = g[:, 2 * k :]
-            g *= gates[:, k:]
-            g += a[:, 2 * k :]
-            np.tanh(g, out=g)
-            h = h - g
-            h *= gates[:, :k]
-            h += g
-            hs[t] = h
-        state[live] = h
+        hs = forward(w, x, state[live])[0]
+        state[live] = hs[-1]
         lp = np.zeros(x.shape)
         lp[real] = output(w, v, hs[real], y[real])
         np.add.at(out, who, lp.sum(0))
     return out
 
 
-def train(w: Weights, v: Vocabulary, sequences: list[np.ndarray], rate: float = RATE) -> tuple[Weights, int]:
+def window_gradients(w: Weights, v: Vocabulary, h0: np.ndarray, x: np.ndarray, y: np.ndarray, real: np.ndarray):
+    """(states, summed log-probability of the real targets, gradients of its negative): those of the inputs as rows,
+    one for each real token."""
+    hs, *kept = forward(w, x, h0)
+    out, dh, grads = output(w, v, hs[real], y[real], gradient=True)
+    d_all = np.zeros_like(hs)
+    d_all[real] = dh
+    da, grads["u"] = backward(w, h0, hs, *kept, d_all)
+    flat = da[real]
+    return hs, out.sum(), grads | {"b": flat.sum(0)}, flat
+
+
+def train(w: Weights, v: Vocabulary, sequences: list[np.ndarray], rate: float | None = None) -> tuple[Weights, int]:
     """Adagrad over windows of STEPS tokens: gradients stop at a window's beginning, the state does not."""
+    rate = RATE if rate is None else rate
     w = {k: x.copy() for k, x in w.items()}
     squares = {k: np.full_like(x, 1e-2) for k, x in w.items()}
-    state, seen, k = np.zeros((min(TRAIN_LANES, len(sequences)), HIDDEN), np.float32), 0, HIDDEN
+    state, seen = np.zeros((min(TRAIN_LANES, len(sequences)), HIDDEN), np.float32), 0
+
+    def follow(name, g, at=slice(None)):
+        g *= 20 / n
+        np.clip(g, -1, 1, out=g)
+        squares[name][at] += g * g
+        g /= np.sqrt(squares[name][at])
+        g *= rate
+        w[name][at] -= g
+
     for live, _, new, x, y, real in _Lanes(sequences, TRAIN_LANES, STEPS):
         state[live[new]] = 0
-        h, kept = state[live], []
-        hs = np.empty((*x.shape, k), np.float32)
-        for t in range(len(x)):
-            before = h
-            h, gates = step(w, x[t], h)
-            kept.append((before, *gates))
-            hs[t] = h
-        state[live] = h
+        hs, _, grads, flat = window_gradients(w, v, state[live], x, y, real)
+        state[live] = hs[-1]
         n = int(real.sum())
         seen += n
-        _, dh_out, grads = output(w, v, hs[real], y[real], gradient=True)
-        d_all = np.zeros_like(hs)
-        d_all[real] = dh_out
-        da = np.empty((*x.shape, 3 * k), np.float32)
-        du, dh = np.zeros_like(w["u"]), np.zeros_like(h)
-        for t in range(len(x) - 1, -1, -1):
-            before, z, r, cand, gn = kept[t]
-            dh = dh + d_all[t]
-            dn = dh * (1 - z) * (1 - cand * cand)
-            dz = dh * (before - cand) * z * (1 - z)
-            dr = dn * gn * r * (1 - r)
-            da[t] = np.concatenate((dz, dr, dn), 1)
-            dg = np.concatenate((dz, dr, dn * r), 1)
-            du += before.T @ dg
-            dh = dh * z + dg @ w["u"].T
-        flat, tokens = da[real], x[real]
+        tokens = x[real]
         order = np.argsort(tokens, kind="stable")
         ids, first = np.unique(tokens[order], return_index=True)
-        dx = np.add.reduceat(flat[order], first, axis=0)
-        grads |= {"u": du, "b": flat.sum(0)}
         for name, g in grads.items():
-            g = np.clip(g / n * 20, -1, 1)
-            squares[name] += g * g
-            w[name] -= rate * g / np.sqrt(squares[name])
-        g = np.clip(dx / n * 20, -1, 1)
-        squares["x"][ids] += g * g
-        w["x"][ids] -= rate * g / np.sqrt(squares["x"][ids])
+            follow(name, g)
+        follow("x", np.add.reduceat(flat[order], first, axis=0), ids)
     return w, seen
 
 
@@ -284,45 +354,43 @@ def _unpack(flat: np.ndarray, like: Weights) -> Weights:
     return out
 
 
-def _model_ids(v: Vocabulary, text: bytes) -> np.ndarray:
-    """END, then the text's tokens, as the model's ids."""
-    return np.minimum(np.concatenate(([v.ids.get(END, v.m)], v.ids_of(tokens_of(text)))), v.m)
+def _model_ids(v: Vocabulary, column: pa.Array) -> list[np.ndarray]:
+    """Of each text: the end, its tokens, as the model's ids."""
+    out = []
+    for a, b in slices(column) if len(column) else ():
+        ids, starts = v.sequences(words_of(column.slice(a, b - a), lower=True))
+        out += np.split(np.minimum(ids, v.m).astype(np.int32), starts[1:-1])
+    return out
 
 
-def train_round(learn: DataFrame, shared, weights: Weights) -> Weights:
-    """Each part of the input trains a copy on all tokens of its documents, the state carried through a document's
-    windows; the copies are averaged by their tokens, in blocks of 4,096 weights."""
+def train_round(learn: DataFrame, shared, weights: Weights, shards: int) -> Weights:
+    """Each shard trains a copy on all tokens of its documents, the state carried through a document's windows; the
+    copies are averaged by their tokens, in blocks of 4,096 weights. A shard's documents are taken in the order of
+    their texts, and copies are added up in the order of shards, so neither hangs on the input's partitions."""
     sent = learn.sparkSession.sparkContext.broadcast(weights)
     block = 4096
-    schema = pa.schema([("block", pa.int32()), ("n", pa.int64()), ("w", pa.binary())])
-    spec = "block int, n bigint, w binary"
-
-    def run(batches):
-        v, sequences = shared.value, []
-        for batch in batches:
-            for part in in_slices(batch):
-                sequences += [_model_ids(v, text).astype(np.int32) for text in byte_column(part.column(1))]
-        if sequences:
-            w, n = train(sent.value, v, sequences)
-            flat = _pack(w).astype("<f4")
-            at = range(0, len(flat), block)
-            yield batch_of(schema, [list(range(len(at))), [n] * len(at), [flat[i : i + block].tobytes() for i in at]])
-
-    def merge(batches):
-        now, total, tokens = None, None, 0
-        for batch in batches:
-            for b, n, data in zip(*(c.to_pylist() for c in batch.columns)):
-                if b != now:
-                    if tokens:
-                        yield batch_of(schema, [[now], [tokens], [(total / tokens).astype("<f4").tobytes()]])
-                    now, total, tokens = b, 0.0, 0
-                total = total + np.frombuffer(data, "<f4").astype(float) * n
-                tokens += n
-        if tokens:
-            yield batch_of(schema, [[now], [tokens], [(total / tokens).astype("<f4").tobytes()]])
-
-    copies = learn.mapInArrow(run, spec)
-    rows = copies.repartition("block").sortWithinPartitions("block").mapInArrow(merge, spec).collect()  # one model's weights
+    schema = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("n", pa.int64()), ("w", pa.binary())])
+    spec = "block int, shard int, n bigint, w binary"
+
+    def run(docs: pa.Table) -> pa.Table:
+        texts = docs["text"].combine_chunks()
+        texts = texts.take(pc.array_sort_indices(texts))
+        w, n = train(sent.value, shared.value, _model_ids(shared.value, texts))
+        flat = _pack(w).astype("<f4")
+        at = range(0, len(flat), block)
+        own = docs["shard"][0].as_py()
+        return pa.Table.from_batches([batch_of(schema, [list(range(len(at))), [own] * len(at), [n] * len(at), [flat[i : i + block].tobytes() for i in at]])])
+
+    def merge(copies: pa.Table) -> pa.Table:
+        total, tokens = 0.0, 0
+        for _, n, data in sorted(zip(*(copies[c].to_pylist() for c in ("shard", "n", "w")))):
+            total = total + np.frombuffer(data, "<f4").astype(float) * n
+            tokens += n
+        return pa.Table.from_batches([batch_of(schema, [copies["block"][:1].to_pylist(), [0], [tokens], [(total / tokens).astype("<f4").tobytes()]])])
+
+    dealt = learn.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"), "text")
+    copies = dealt.groupBy("shard").applyInArrow(lambda docs: run(docs), spec)
+    rows = copies.groupBy("block").applyInArrow(lambda part: merge(part), spec).collect()  # one model's weights
     if not rows:
         return weights
     flat = np.concatenate([np.frombuffer(r.w, "<f4") for r in sorted(rows, key=lambda r: r.block)])
@@ -338,8 +406,9 @@ def fit(learn: DataFrame, rounds: int = ROUNDS):
     shared = learn.sparkSession.sparkContext.broadcast(v)
     weights = start_weights(v)
     if total.n:
+        size = learn.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
         for _ in range(rounds):
-            weights = train_round(learn, shared, weights)
+            weights = train_round(learn, shared, weights, int(1 + size // SHARD_BYTES))
     return counts, shared, weights
 
 
@@ -356,42 +425,52 @@ def score_documents(docs: DataFrame, folds: int = 5, held_fold: int = 1, id_col:
     sent = docs.sparkSession.sparkContext.broadcast(weights)
     n_train = shared.value.n_tokens
     tail = pa.list_(pa.struct([("token", pa.binary()), ("tf", pa.int32())]))
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("tail", tail)])
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("tail", tail)])
 
     def run(batches):
         v, w = shared.value, sent.value
-        none = len(v.ids)
-        log_rest = float(np.log10(v.rest))
+        none, log_rest = len(v.ids), float(np.log10(v.rest))
+        logs = np.append(v.logs, 0.0)
         for batch in batches:
-            for part in in_slices(batch, 24 << 20):
-                sequences, out = [], []
-                for row, doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), byte_column(part.column(2))):
-                    tokens = tokens_of(text)
-                    ids = v.ids_of(tokens)
-                    inside = ids < none
-                    other = inside & (ids >= v.m)
-                    unknown = Counter([tokens[i] for i in np.flatnonzero(~inside)])
-                    base = float(v.logs[ids[inside]].sum()) - len(ids) * v.base
-                    extra = float(v.logs[ids[other]].sum()) - int((ids >= v.m).sum()) * log_rest
-                    sequences.append(np.minimum(np.concatenate(([v.ids.get(END, v.m)], ids)), v.m).astype(np.int32))
-                    out.append([row, doc_id, len(ids), int(inside.sum()), base, extra, [{"token": t, "tf": n} for t, n in unknown.items()]])
-                for line, lp in zip(out, score_all(w, v, sequences) / np.log(10)):
-                    line[5] += float(lp)
-                if out:
-                    yield batch_of(schema, [list(c) for c in zip(*out)])
-
-    scored = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, "row bigint, doc_id bigint, n_tokens bigint, n_known bigint, base double, score double, tail array<struct<token: binary, tf: int>>")
+            column = batch.column(2)
+            for a, b in slices(column, 4 << 20):
+                words = words_of(column.slice(a, b - a), lower=True)
+                ids, starts = v.sequences(words)
+                counts = np.diff(starts) - 1  # words and one end
+                own = np.ones(len(ids), bool)
+                own[starts[:-1]] = False
+                of, ids_own = np.repeat(np.arange(len(counts)), counts), ids[own]
+                inside, other = ids_own < none, ids_own >= v.m
+                add = lambda x: np.bincount(of, weights=x, minlength=len(counts))
+                base = add(logs[ids_own]) - counts * v.base
+                extra = add(np.where(other, logs[ids_own] - log_rest, 0.0))
+                scores = score_all(w, v, np.split(np.minimum(ids, v.m).astype(np.int32), starts[1:-1])) / np.log(10) + extra
+                tails: list = [[] for _ in counts]
+                unknown = np.flatnonzero(v.ids_of(words) == none)
+                data = words.data.tobytes()
+                where = np.searchsorted(words.edges, unknown, "right") - 1
+                cuts = np.searchsorted(where, np.arange(len(counts) + 1)).tolist()
+                spelt = [data[x:y] for x, y in zip(words.first[unknown].tolist(), words.last[unknown].tolist())]
+                for i in np.flatnonzero(np.diff(cuts)).tolist():
+                    tails[i] = [{"token": t, "tf": n} for t, n in Counter(spelt[cuts[i] : cuts[i + 1]]).items()]
+                yield batch_of(schema, [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), counts, add(inside).astype(np.int64), base, scores, tails])
+
+    scored = rows.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id bigint, h bigint, n_tokens bigint, n_known bigint, base double, score double, tail array<struct<token: binary, tf: int>>")
     # a row for each rare token; the document's own figures are on its first only
     lines = scored.select("*", F.posexplode_outer("tail").alias("pos", "t"))
     first = F.coalesce(F.col("pos"), F.lit(0)) == 0
-    own = [F.when(first, F.col(c)).alias(c) for c in ("doc_id", "n_tokens", "n_known", "base", "score")]
-    key = F.coalesce(F.concat(F.lit(b"t"), F.col("t.token")), F.concat(F.lit(b"d"), F.col("row").cast("string").cast("binary")))
-    lines = lines.select("row", *own, key.alias("k"), F.col("t.tf").alias("tf"))
+    own = [F.when(first, F.col(c)).alias(c) for c in ("n_tokens", "n_known", "base", "score")]
+    key = F.coalesce(F.concat(F.lit(b"t"), F.col("t.token")), F.concat(F.lit(b"d"), F.col("h").cast("string").cast("binary")))
+    lines = lines.select("doc_id", "h", *own, key.alias("k"), F.col("t.tf").alias("tf"))
     known = counts.select(F.concat(F.lit(b"t"), F.col("token")).alias("k"), "n")
     joined = lines.join(known, "k", "left")
-    rare = F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + 0.5))
-    summed = joined.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), (F.max("n_known") + F.coalesce(F.sum(F.when(F.col("n").isNotNull(), F.col("tf"))), F.lit(0))).alias("n_known"),
-        (F.max("base") + F.coalesce(rare, F.lit(0.0))).alias("base_score"), (F.max("score") + F.coalesce(rare, F.lit(0.0))).alias("score"),
+    # rows repeated in id and text are one group, whose rare tokens count once for each of them
+    times = F.count("n_tokens")
+    rare = F.coalesce(F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)), F.lit(0.0)) / times
+    more = F.coalesce(F.sum(F.when(F.col("n").isNotNull(), F.col("tf"))), F.lit(0)) / times
+    summed = joined.groupBy("doc_id", "h").agg(
+        F.max("n_tokens").alias("n_tokens"), (F.max("n_known") + more).cast("bigint").alias("n_known"),
+        (F.max("base") + rare).alias("base_score"), (F.max("score") + rare).alias("score"), times.alias("times"),
     )
-    return summed.select("doc_id", held.alias("held_out"), "n_tokens", F.col("n_known").cast("bigint").alias("n_known"), F.lit(n_train).cast("bigint").alias("train_tokens"), "base_score", "score")
+    each = summed.withColumn("time", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))))
+    return each.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -34,10 +34,14 @@ def mixed(x: np.ndarray, k: int = 0) -> np.ndarray:
 
 @dataclass
 class Words:
-    """Words of consecutive texts: hash of each, and the number of the first word of each text (and their count)."""
+    """Words of consecutive texts: hash of each, the number of the first word of each text (and their count), and the
+    bytes (lower-cased if asked for) with where each word begins and ends in them."""
 
     hashes: np.ndarray
     edges: np.ndarray
+    data: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
 
     def counts(self) -> np.ndarray:
         return np.diff(self.edges)
@@ -57,7 +61,8 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def words_of(column: pa.Array, lower: bool = False) -> Words:
     """The words of every text of a column without nulls; with lower, A-Z count as a-z."""
     if not len(column):
-        return Words(np.zeros(0, np.uint64), np.zeros(1, np.int64))
+        none = np.zeros(0, np.int64)
+        return Words(np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint8), none, none)
     data, at = _bytes_of(column)
     n = len(data)
     padded = np.zeros(n + LONG + 8, np.uint8)
@@ -86,7 +91,7 @@ def words_of(column: pa.Array, lower: bool = False) -> Words:
             h[more] = mixed(h[more] ^ piece(first[more] + k, sizes[more] - k), 1)
     for i in np.flatnonzero(sizes > LONG).tolist():
         h[i] = xxhash.xxh3_64_intdigest(padded[first[i] : last[i]].tobytes())
-    return Words(h, np.searchsorted(first, at).astype(np.int64))
+    return Words(h, np.searchsorted(first, at).astype(np.int64), padded, first, last)
 
 
 def runs(h: np.ndarray, size: int, k: int = 0) -> np.ndarray:

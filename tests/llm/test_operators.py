@@ -535,21 +535,87 @@ def test_lm_scoring(docs, rows, monkeypatch):
         assert r.base_score == pytest.approx(want[4]) and r.score < 0
 
 
+def _vocabulary(texts):
+    c = Counter(t for x in texts for t in lm_scoring.tokens_of((x or "").encode()))
+    return lm_scoring.Vocabulary(sorted(c.items(), key=lambda t: (-t[1], t[0])), sum(c.values()), len(c)), c
+
+
 def test_lm_trains_on_every_token(spark):
+    import pyarrow as pa
+
     rng = random.Random(6)
-    texts = [" ".join(rng.choices("abcdefgh", k=n)) for n in (0, 1, 3, 40, 200, 900)]
-    c = Counter(t for x in texts for t in lm_scoring.tokens_of(x.encode()))
-    v = lm_scoring.Vocabulary(sorted(c.items(), key=lambda t: (-t[1], t[0])), sum(c.values()), len(c))
-    learn = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
-    start = lm_scoring.start_weights(v)
+    texts = sorted(" ".join(rng.choices("abcdefgh", k=n)) for n in (0, 1, 3, 40, 200, 900))
+    v, c = _vocabulary(texts)
+    learn = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = lm_scoring.fit(learn)[2]
-    want = start
+    want = lm_scoring.start_weights(v)
     for _ in range(lm_scoring.ROUNDS):
-        want, seen = lm_scoring.train(want, v, [lm_scoring._model_ids(v, x.encode()) for x in texts])
+        want, seen = lm_scoring.train(want, v, lm_scoring._model_ids(v, pa.array(texts)))
         assert seen == sum(c.values())
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-5) for k in want)
 
 
+def test_lm_scores_are_a_function_of_the_table(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SHARD_BYTES", 3000)
+    rng = random.Random(16)
+    pool = ["".join(rng.choices("abcde", k=3)) for _ in range(60)]
+    rows = [(i, " ".join(rng.choices(pool, k=rng.randint(0, 90)))) for i in range(80)]
+    df = spark.createDataFrame(rows + rows[:3], "doc_id long, text string")
+    first, second = (sorted((r.doc_id, r.score) for r in lm_scoring.score_documents(df.repartition(n)).collect()) for n in (1, 16))
+    assert [x[0] for x in first] == [x[0] for x in second] and np.allclose([x[1] for x in first], [x[1] for x in second], rtol=1e-6)
+
+
+def test_lm_scores_whole_documents():
+    """Scores against the model's definition, a token at a time in plain Python, over many windows and lanes."""
+    import pyarrow as pa
+
+    rng = random.Random(17)
+    texts = [" ".join(rng.choices(["a", "B", "cc", "d", "é", "rare"], k=n)) for n in (0, 1, 5, 97, 400)]
+    v, _ = _vocabulary(texts)
+    w, _ = lm_scoring.train(lm_scoring.start_weights(v), v, lm_scoring._model_ids(v, pa.array(texts)))
+    k, sigmoid = lm_scoring.HIDDEN, lambda x: 1 / (1 + math.exp(-x))
+    u, classes = w["u"].astype(float), [list(range(v.starts[c], v.starts[c + 1])) for c in range(v.n_cls)]
+    want = []
+    for text in texts:
+        ids = [v.ids[t] for t in lm_scoring.tokens_of(text.encode())]
+        h, total = np.zeros(k), 0.0
+        for now, nxt in zip([v.ids[b""], *ids], ids):
+            a, g = w["x"][now].astype(float) + w["b"], h @ u
+            z = [sigmoid(a[i] + g[i]) for i in range(k)]
+            r = [sigmoid(a[k + i] + g[k + i]) for i in range(k)]
+            n = [math.tanh(a[2 * k + i] + r[i] * g[2 * k + i]) for i in range(k)]
+            h = np.array([z[i] * h[i] + (1 - z[i]) * n[i] for i in range(k)])
+            own = next(c for c in classes if nxt in c)
+            by_class = [math.exp(x) for x in (h @ w["c"] + w["cb"])]
+            inner = {t: math.exp(float(h @ w["w"][t] + w["wb"][t])) for t in own}
+            total += math.log(by_class[classes.index(own)] / sum(by_class)) + math.log(inner[nxt] / sum(inner.values()))
+        want.append(total)
+    assert np.allclose(lm_scoring.score_all(w, v, lm_scoring._model_ids(v, pa.array(texts))), want, rtol=1e-4)
+
+
+def test_lm_gradients_through_time():
+    v = lm_scoring.Vocabulary([(b"a", 50), (b"b", 20), (b"", 10), (b"c", 1)], 90, 9)
+    rng = np.random.default_rng(2)
+    w = {k: x.astype(float) + rng.standard_normal(x.shape) * 0.1 for k, x in lm_scoring.start_weights(v).items()}
+    h0 = rng.standard_normal((3, lm_scoring.HIDDEN)) * 0.3
+    x, y = rng.integers(0, v.m + 1, (6, 3)), rng.integers(0, v.m + 1, (6, 3))
+    real = np.ones(x.shape, bool)
+    real[4:, 1] = False
+    loss = lambda: -lm_scoring.window_gradients(w, v, h0, x, y, real)[1]
+    _, _, grads, flat = lm_scoring.window_gradients(w, v, h0, x, y, real)
+    grads["x"] = np.zeros_like(w["x"])
+    np.add.at(grads["x"], x[real], flat)
+    for name, g in grads.items():
+        for at in [tuple(rng.integers(0, n) for n in g.shape) for _ in range(6)]:
+            e, old = 1e-6, w[name][at]
+            w[name][at] = old + e
+            up = loss()
+            w[name][at] = old - e
+            down = loss()
+            w[name][at] = old
+            assert g[at] == pytest.approx((up - down) / (2 * e), abs=1e-5), (name, at)
+
+
 def test_lm_distribution_sums_to_one():
     v = lm_scoring.Vocabulary([(b"a", 50), (b"b", 20), (b"", 10), (b"c", 1)], 90, 9)
     w = {k: x + np.float32(0.1) for k, x in lm_scoring.start_weights(v).items()}
