@@ -28,11 +28,13 @@ HEAD_BYTES = 64
 MODEL_TOKENS = 4096
 HIDDEN = 16
 STEPS = 32
-TRAIN_LANES = 64
+TRAIN_LANES = 128
 #: Text of one training shard.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 32 << 20
 SCORE_LANES = 320
 SCORE_STEPS = 96
+#: Tokens scored side by side: many, so that few lanes wait for the longest document.
+SCORE_TOKENS = 4_000_000
 #: Each takes every token of every learning document.
 ROUNDS = 1
 RATE = 0.2
@@ -431,10 +433,19 @@ def score_documents(docs: DataFrame, folds: int = 5, held_fold: int = 1, id_col:
         v, w = shared.value, sent.value
         none, log_rest = len(v.ids), float(np.log10(v.rest))
         logs = np.append(v.logs, 0.0)
-        for batch in batches:
-            column = batch.column(2)
-            for a, b in slices(column, 4 << 20):
-                words = words_of(column.slice(a, b - a), lower=True)
+        held, sequences, n = [], [], 0
+
+        def flush():
+            scores, at = score_all(w, v, sequences) / np.log(10), 0
+            for batch in held:
+                own = batch.column("score").to_numpy() + scores[at : at + batch.num_rows]
+                at += batch.num_rows
+                yield batch.set_column(5, schema.field("score"), pa.array(own))
+
+        for whole in batches:
+            for a, b in slices(whole.column(2)):
+                part = whole.slice(a, b - a)
+                words = words_of(part.column(2), lower=True)
                 ids, starts = v.sequences(words)
                 counts = np.diff(starts) - 1  # words and one end
                 own = np.ones(len(ids), bool)
@@ -444,16 +455,23 @@ def score_documents(docs: DataFrame, folds: int = 5, held_fold: int = 1, id_col:
                 add = lambda x: np.bincount(of, weights=x, minlength=len(counts))
                 base = add(logs[ids_own]) - counts * v.base
                 extra = add(np.where(other, logs[ids_own] - log_rest, 0.0))
-                scores = score_all(w, v, np.split(np.minimum(ids, v.m).astype(np.int32), starts[1:-1])) / np.log(10) + extra
+                words_inside = np.ones(len(ids), bool)
+                words_inside[starts[:-1]] = words_inside[starts[1:] - 1] = False
                 tails: list = [[] for _ in counts]
-                unknown = np.flatnonzero(v.ids_of(words) == none)
+                unknown = np.flatnonzero(ids[words_inside] == none)
                 data = words.data.tobytes()
                 where = np.searchsorted(words.edges, unknown, "right") - 1
                 cuts = np.searchsorted(where, np.arange(len(counts) + 1)).tolist()
                 spelt = [data[x:y] for x, y in zip(words.first[unknown].tolist(), words.last[unknown].tolist())]
                 for i in np.flatnonzero(np.diff(cuts)).tolist():
                     tails[i] = [{"token": t, "tf": n} for t, n in Counter(spelt[cuts[i] : cuts[i + 1]]).items()]
-                yield batch_of(schema, [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), counts, add(inside).astype(np.int64), base, scores, tails])
+                held.append(batch_of(schema, [part.column(0), part.column(1), counts, add(inside).astype(np.int64), base, extra, tails]))
+                sequences += np.split(np.minimum(ids, v.m).astype(np.int32), starts[1:-1])
+                n += len(ids)
+                if n > SCORE_TOKENS:
+                    yield from flush()
+                    held, sequences, n = [], [], 0
+        yield from flush()
 
     scored = rows.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id bigint, h bigint, n_tokens bigint, n_known bigint, base double, score double, tail array<struct<token: binary, tf: int>>")
     # a row for each rare token; the document's own figures are on its first only
