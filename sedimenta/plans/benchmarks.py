@@ -22,44 +22,49 @@ CHUNK_SIZES = tuple(1 << k for k in range(16, 21))
 
 
 def _own(name: str, ranks: bool):
-    return (lambda d: codec.encode_chunk(d, 0, 0, name, ranks)), (lambda c, n: codec.decode_chunk(c[0], c[1], n, 0, 0, name)), (lambda c: len(c[1]))
+    def restore(coded, sizes):
+        return codec.decode_chunks([c[0] for c in coded], [c[1] for c in coded], sizes, [0] * len(sizes), [0] * len(sizes), name)
 
+    return (lambda chunks: codec.encode_chunks(chunks, [0] * len(chunks), [0] * len(chunks), name, ranks)), restore, (lambda c: len(c[1]))
 
-def _lz4():
-    return (lambda d: pa.compress(d, "lz4", asbytes=True)), (lambda c, n: pa.decompress(c, n, "lz4", asbytes=True)), len
 
+def _each(pack, restore):
+    """A compressor of single chunks over a list of them."""
+    return (lambda chunks: [pack(d) for d in chunks]), (lambda coded, sizes: [restore(c, n) for c, n in zip(coded, sizes)]), len
 
-#: name -> (compress, decompress given the size, stored size)
+
+#: name -> (compress chunks, decompress given the sizes, stored size of one)
 TOOLS = {
-    "gzip": ((lambda d: gzip.compress(d, 6)), (lambda c, n: gzip.decompress(c)), len),
-    "bzip2": (bz2.compress, (lambda c, n: bz2.decompress(c)), len),
-    "xz": (lzma.compress, (lambda c, n: lzma.decompress(c)), len),
-    "zstd": ((lambda d: zstandard.ZstdCompressor(3).compress(d)), (lambda c, n: zstandard.ZstdDecompressor().decompress(c, n)), len),
-    "lz4": _lz4(),
+    "gzip": _each(lambda d: gzip.compress(d, 6), lambda c, n: gzip.decompress(c)),
+    "bzip2": _each(bz2.compress, lambda c, n: bz2.decompress(c)),
+    "xz": _each(lzma.compress, lambda c, n: lzma.decompress(c)),
+    "zstd": _each(lambda d: zstandard.ZstdCompressor(3).compress(d), lambda c, n: zstandard.ZstdDecompressor().decompress(c, n)),
+    "lz4": _each(lambda d: pa.compress(d, "lz4", asbytes=True), lambda c, n: pa.decompress(c, n, "lz4", asbytes=True)),
 }
 OWN = {name: _own(t, r) for name, r, t in VARIANTS}
 
 
 def compare(chunks: DataFrame, names: list[str]) -> DataFrame:
     """For each named tool or codec variant over chunks(data): chunks, ok (all come back equal), orig, comp, ratio (0 if
-    empty), comp_s and decomp_s. Chunks are spread over tasks with the tool, and summed before the shuffle."""
+    empty), comp_s and decomp_s. Every batch of chunks goes through each tool, and is summed before the shuffle."""
     known = {**TOOLS, **OWN}
 
     def run(batches):
         for df in batches:
+            raw = [bytes(d) for d in df["data"]]
             out = []
-            for name, data in zip(df["name"], df["data"]):
+            for name in names:
                 pack, restore, size = known[name]
-                raw, t0 = bytes(data), time.perf_counter()
+                t0 = time.perf_counter()
                 packed = pack(raw)
                 t1 = time.perf_counter()
-                same = restore(packed, len(raw)) == raw
-                out.append((name, same, len(raw), size(packed), t1 - t0, time.perf_counter() - t1))
-            yield pd.DataFrame(out, columns=["name", "same", "orig", "comp", "comp_s", "decomp_s"])
+                back = restore(packed, [len(d) for d in raw])
+                t2 = time.perf_counter()
+                out.append((name, len(raw), back == raw, sum(map(len, raw)), sum(map(size, packed)), t1 - t0, t2 - t1))
+            yield pd.DataFrame(out, columns=["name", "n", "same", "orig", "comp", "comp_s", "decomp_s"])
 
-    each = chunks.select(F.explode(F.array(*[F.lit(n) for n in names])).alias("name"), "data")
-    rows = each.mapInPandas(run, "name string, same boolean, orig bigint, comp bigint, comp_s double, decomp_s double")
-    s = rows.groupBy("name").agg(F.count("*").alias("chunks"), F.min("same").alias("ok"), F.sum("orig").alias("orig"), F.sum("comp").alias("comp"), F.sum("comp_s").alias("comp_s"), F.sum("decomp_s").alias("decomp_s"))
+    rows = chunks.select("data").mapInPandas(run, "name string, n bigint, same boolean, orig bigint, comp bigint, comp_s double, decomp_s double")
+    s = rows.groupBy("name").agg(F.sum("n").alias("chunks"), F.min("same").alias("ok"), F.sum("orig").alias("orig"), F.sum("comp").alias("comp"), F.sum("comp_s").alias("comp_s"), F.sum("decomp_s").alias("decomp_s"))
     return s.withColumn("ratio", F.round(F.coalesce(F.col("comp") / F.nullif(F.col("orig"), F.lit(0)), F.lit(0.0)), 6))
 
 

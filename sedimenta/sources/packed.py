@@ -6,6 +6,7 @@ from __future__ import annotations
 import io
 import struct
 from collections.abc import Iterator
+from itertools import batched
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,15 +45,32 @@ def pack_into(out, pieces, chunk_size: int, transform: str = "none", ranks: bool
     flags = (RANKS if ranks else 0) | STORED_WEIGHTS | TRANSFORMS.index(transform) << 2 | (RAW_FILE if force_raw else 0)
     out.write(HEADER.pack(MAGIC, VERSION, flags, chunk_size, codec.BLOCK, codec.SEED, *codec.WEIGHTS))
     n = 0
-    for k, raw in enumerate(pieces):
-        n = k + 1
+    for some in batched(pieces, 16):  # coded side by side
         if force_raw:
-            out.write(raw)
-            continue
-        kind, payload = codec.encode_chunk(raw, 0, k, transform, ranks)
+            out.write(b"".join(some))
+        else:
+            _write_chunks(out, some, codec.encode_chunks(list(some), [0] * len(some), list(range(n, n + len(some))), transform, ranks))
+        n += len(some)
+    return n
+
+
+def _write_chunks(out, chunks, coded) -> None:
+    for raw, (kind, payload) in zip(chunks, coded):
         out.write(CHUNK.pack(len(raw), RAW_CHUNK if kind else 0, int(codec.entropy_of(raw) * 100)))
         out.write(payload if kind else LENGTH.pack(len(payload)) + payload)
-    return n
+
+
+def pack_many(values: list[bytes], chunk_size: int = 512 * 1024, transform: str = "none") -> list[bytes]:
+    """A stream of each value, the chunks of all coded side by side."""
+    pieces = [[v[a : a + chunk_size] for a in range(0, len(v), chunk_size)] for v in values]
+    coded = iter(codec.encode_chunks([c for p in pieces for c in p], [0] * sum(map(len, pieces)), [k for p in pieces for k in range(len(p))], transform))
+    out = []
+    for own in pieces:
+        stream = io.BytesIO()
+        stream.write(HEADER.pack(MAGIC, VERSION, STORED_WEIGHTS | TRANSFORMS.index(transform) << 2, chunk_size, codec.BLOCK, codec.SEED, *codec.WEIGHTS))
+        _write_chunks(stream, own, [next(coded) for _ in own])
+        out.append(stream.getvalue())
+    return out
 
 
 def pack(data: bytes, chunk_size: int = 512 * 1024, transform: str = "none", ranks: bool = False, force_raw: bool = False) -> bytes:
@@ -84,7 +102,12 @@ def chunks_of(source, top: dict) -> Iterator[tuple[int, int, int, float, bytes]]
 def unpack(data: bytes) -> bytes:
     source = pa.BufferReader(data)
     top = read_header(source)
-    return b"".join(codec.decode_chunk(kind, payload, size, 0, k, top["transform"], top["seed"]) for k, size, kind, _, payload in chunks_of(source, top))
+    return b"".join(x for some in batched(chunks_of(source, top), 16) for x in _decoded(some, top["transform"], top["seed"]))
+
+
+def _decoded(chunks, transform: str, seed: int) -> list[bytes]:
+    index, sizes, kinds, _, payloads = (list(c) for c in zip(*chunks))
+    return codec.decode_chunks(kinds, payloads, sizes, [0] * len(index), index, transform, seed)
 
 
 def packed(data: Column, chunk_size: int = 512 * 1024, transform: str = "none") -> Column:
@@ -92,7 +115,10 @@ def packed(data: Column, chunk_size: int = 512 * 1024, transform: str = "none")
 
     @F.pandas_udf("binary")
     def run(values):
-        return values.map(lambda v: None if v is None else pack(bytes(v), chunk_size, transform))
+        import pandas as pd
+
+        made = iter(pack_many([bytes(v) for v in values if v is not None], chunk_size, transform))
+        return pd.Series([None if v is None else next(made) for v in values], dtype=object)
 
     return run(data)
 
@@ -125,7 +151,11 @@ def decoded(chunks: DataFrame) -> DataFrame:
     def run(kind, payload, size, k, name, seed):
         import pandas as pd
 
-        return pd.Series([codec.decode_chunk(int(a), bytes(b), int(c), 0, int(d), e, int(f)) for a, b, c, d, e, f in zip(kind, payload, size, k, name, seed)])
+        out = pd.Series([None] * len(kind), dtype=object)
+        for (transform, key), own in kind.groupby([name, seed]).groups.items():
+            at = list(own)
+            out.loc[at] = codec.decode_chunks(kind[at].tolist(), [bytes(b) for b in payload[at]], size[at].tolist(), [0] * len(at), k[at].tolist(), transform, int(key))
+        return out
 
     return chunks.select("stream", "chunk_index", run(*names).alias("data"))
 
