@@ -1,7 +1,10 @@
-"""Bytes of binary columns as arrays and rows; entropy, reversible transforms, 32-bit shifts. Built-in functions only."""
+"""Bytes of binary columns as arrays and rows; entropy, reversible transforms, 32-bit shifts. Counting bytes is an Arrow
+kernel, as a row for each byte is beyond reason; all else is built-in functions."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +22,42 @@ def byte_rows(df: DataFrame, key: str, data: Column) -> DataFrame:
     return df.select(key, F.posexplode(byte_array(data)).alias("pos", "b"))
 
 
-def byte_counts(df: DataFrame, key: str, data: Column) -> DataFrame:
-    """(key, b, n): partial counts before the shuffle make this at most 256 rows a key and task."""
-    return df.select(key, F.explode(byte_array(data)).alias("b")).groupBy(key, "b").agg(F.count("*").alias("n"))
+def _by_transform(data: np.ndarray, starts: np.ndarray, name: str) -> np.ndarray:
+    """The bytes of consecutive payloads, each transformed for itself."""
+    if name == "none":
+        return data
+    before = np.zeros_like(data)
+    before[1:] = data[:-1]
+    before[starts[starts < len(data)]] = 0
+    return data - before if name == "delta" else data ^ before
+
+
+def byte_counts(df: DataFrame, key: str, data: Column, transforms: tuple[str, ...] | None = None) -> DataFrame:
+    """(key, b, n) for each byte value of each row; with transforms (none, delta, xor) also the transform's name.
+    Null data are empty. Rows of one key are not yet added up."""
+    rows = df.select(key, data.alias("data"))
+    names = transforms or ("none",)
+    spec = f"{key} {rows.schema[0].dataType.simpleString()}, {'transform string, ' * bool(transforms)}b int, n bigint"
+
+    def run(batches):
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2048):
+                batch = whole.slice(start, 2048)
+                column = batch.column(1).fill_null(b"")
+                _, offsets, held = column.buffers()
+                wide = pa.types.is_large_binary(column.type)
+                at = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+                raw = np.frombuffer(held, np.uint8)[at[0] : at[-1]] if held is not None and held.size else np.zeros(0, np.uint8)
+                row = np.repeat(np.arange(len(column)), np.diff(at)) * 256
+                for name in names:
+                    counts = np.bincount(row + _by_transform(raw, at[:-1] - at[0], name), minlength=1)
+                    found = np.flatnonzero(counts)
+                    columns = [batch.column(0).take(pa.array(found // 256)), pa.array((found % 256).astype(np.int32)), pa.array(counts[found])]
+                    if transforms:
+                        columns.insert(1, pa.array([name] * len(found), pa.string()))
+                    yield pa.RecordBatch.from_arrays(columns, names=[key, *(["transform"] if transforms else []), "b", "n"])
+
+    return rows.mapInArrow(run, spec)
 
 
 def dense_histogram(spark, counts: DataFrame) -> DataFrame:
@@ -32,7 +68,7 @@ def dense_histogram(spark, counts: DataFrame) -> DataFrame:
 
 def entropy(df: DataFrame, key: str, data: Column) -> DataFrame:
     """(key, n_bytes, entropy) for every row of df: bits a byte, 0 for empty data."""
-    counts = byte_counts(df, key, data)
+    counts = byte_counts(df, key, data).groupBy(key, "b").agg(F.sum("n").alias("n"))
     per = counts.groupBy(key).agg(F.sum("n").alias("n_bytes"), F.sum(F.col("n") * F.log2("n")).alias("s"))
     found = per.select(key, "n_bytes", (F.log2("n_bytes") - F.col("s") / F.col("n_bytes")).alias("entropy"))
     return df.select(key).join(found, key, "left").select(key, F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"), F.greatest(F.coalesce("entropy", F.lit(0.0)), F.lit(0.0)).alias("entropy"))

@@ -59,6 +59,29 @@ def repair(journal: DataFrame) -> DataFrame:
     return journal.join(bad, "seq", "left").agg(F.sum(F.when(F.col("bad").isNull(), 1).otherwise(0)).alias("kept"), F.sum(F.coalesce("bad", F.lit(0))).alias("dropped"))
 
 
+def flipped(data: Column, at: Column) -> Column:
+    """The bytes with those of one place inverted."""
+    byte = F.conv(F.hex(F.substring(data, at + 1, F.lit(1))), 16, 10).cast("int")
+    other = F.unhex(F.lpad(F.hex(F.lit(255) - byte), 2, "0"))
+    return F.concat(F.substring(data, F.lit(1), at), other, F.substring(data, at + 2, F.octet_length(data)))
+
+
+def wrong_chunks(chunks: DataFrame) -> DataFrame:
+    """Chunks(data, crc32) whose decoded bytes have another checksum than is stored; those without one are passed over."""
+    return chunks.where(F.col("crc32").isNotNull() & (F.crc32("data") != F.col("crc32")))
+
+
+def repaired(journal: DataFrame) -> DataFrame:
+    """The records without violations, as they are."""
+    return journal.join(violations(journal).select("seq").distinct(), "seq", "left_anti")
+
+
+def all_violations(journal: DataFrame, blob_size: int | None = None) -> DataFrame:
+    """(seq, path, rule) of the shallow rules and of those that only the payloads show. journal has data."""
+    lengths = journal.withColumn("data_len", F.octet_length(F.coalesce("data", F.lit(b""))))
+    return violations(lengths).unionByName(deep_violations(journal, blob_size)).distinct()
+
+
 def retention(df: DataFrame, by: str, newest: list, keep: int) -> DataFrame:
     """df with age_rank within `by`, and whether it is beyond the newest `keep`."""
     rank = F.row_number().over(Window.partitionBy(by).orderBy(*newest))

@@ -4,12 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder set already. One of
+    this machine only where neither is there and the master is local; on a cluster that is an error."""
+    sc = spark.sparkContext
+    known = sc._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (known.get() if known.isDefined() else None)
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
+    if known.isEmpty():
+        sc.setCheckpointDir(folder)
+    return folder
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir and read from there; a folder of our own only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    """df written to the shared folder and read from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
