@@ -182,8 +182,11 @@ def deletions(table: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         last = left.groupBy("line").agg(F.max("k").alias("last"))
         # the next 2^number holders of each run, by place after the first
         low, number = 2**number, number + 1
-        ranked = shared.join(last, "line").where("k < last").select("line", F.col("k").alias("fk"), F.col("h").alias("fh"), F.pmod(F.xxhash64("k", "h"), F.lit(SALTS)).alias("salt"))
-        for keys in (("line", "salt"), ("line",)):  # a hot run is ranked in parts first, so few of its rows meet
+        # a hot run is dealt to parts and ranked in each first, so few of its rows meet
+        parts = last.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+        salted = shared.withColumn("salt", F.pmod(F.xxhash64("k", "h"), F.lit(SALTS)))
+        ranked = salted.join(parts, ["line", "salt"]).where("k < last").select("line", F.col("k").alias("fk"), F.col("h").alias("fh"), "salt")
+        for keys in (("line", "salt"), ("line",)):
             ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("fk", "fh"))).where(F.col("place") <= 2 * low)
         holders = checkpoint(ranked.where(F.col("place") > low).select("line", "fk", "fh"))
         pairs = checkpoint(left.join(holders, "line").where("k > fk").select("line", "k", "h", "fk", "fh"))
