@@ -231,17 +231,18 @@ def _forest(node, side, fp, radius):
     return out
 
 
-def _compared(signed: DataFrame, names: tuple[str, ...], found, worth=None) -> DataFrame:
+def _compared(signed: DataFrame, names: tuple[str, ...], found, worth=None, more: tuple[str, ...] = ()) -> DataFrame:
     """Distinct pairs (u, v) that found(node, side, columns of names) gives within buckets of signed(part, value, side,
     node, *names). Buckets over BUCKET_ROWS are cut into parts, and every pair of parts is compared by a task of its own.
 
-    worth(bounds, columns of names) may tell for many buckets at once which of them to look into."""
+    worth(bounds, columns of names) may tell for many buckets at once which of them to look into; more names further
+    whole numbers that found gives with each pair."""
     large = signed.groupBy("part", "value").count().where(F.col("count") > BUCKET_ROWS).select("part", "value", F.ceil(F.col("count") / BUCKET_ROWS).cast("int").alias("g"))
     cut = signed.join(large, ["part", "value"], "left").withColumn("g", F.coalesce("g", F.lit(1)))
     own = F.pmod(F.xxhash64("node"), F.col("g")).cast("int")
     spread = cut.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     keyed = spread.select(F.xxhash64("part", "value", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "part", "value", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "side", "node", *names)
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    schema = pa.schema([(n, pa.int64()) for n in ("u", "v", *more)])
 
     def run(batches):
         seen: set = set()
@@ -263,7 +264,7 @@ def _compared(signed: DataFrame, names: tuple[str, ...], found, worth=None) -> D
         for k in np.flatnonzero((np.diff(bounds) > 1) if worth is None else worth(bounds, words)):
             a, b = bounds[k], bounds[k + 1]
             pairs += found(cols[5][a:b], cols[4][a:b], [w[a:b] for w in words])
-        fresh = [(int(min(x)), int(max(x))) for x in pairs]
+        fresh = [(int(min(x[:2])), int(max(x[:2])), *x[2:]) for x in pairs]
         fresh = [x for x in dict.fromkeys(fresh) if x not in seen]
         if len(seen) < 200_000:
             seen.update(fresh)
@@ -271,7 +272,7 @@ def _compared(signed: DataFrame, names: tuple[str, ...], found, worth=None) -> D
             yield batch_of(schema, [list(c) for c in zip(*fresh)])
 
     dealt = keyed.repartition("bucket").sortWithinPartitions("bucket", "part", "value", "lo", "hi")
-    return dealt.drop("bucket").mapInArrow(run, "u bigint, v bigint").distinct()
+    return dealt.drop("bucket").mapInArrow(run, ", ".join(f"{n} bigint" for n in schema.names)).distinct()
 
 
 def links(fps: DataFrame, plan: Plan, radius: int) -> DataFrame:
