@@ -160,132 +160,181 @@ def start_weights(v: Vocabulary, seed: int = 7) -> Weights:
     }
 
 
-#: sigmoid(a) is (1 + tanh(a / 2)) / 2: the gates' share of the inputs is halved, so one tanh serves them.
-_HALF = np.array([0.5] * 2 * HIDDEN + [1.0] * HIDDEN, np.float32)
-
-
-def forward(w: Weights, x: np.ndarray, h: np.ndarray):
-    """States after each step of tokens x (steps x lanes), from state h; and the gates z, r, the candidate n, and the
-    candidate's recurrent part. Update gate z, reset gate r: h' = z h + (1 - z) n."""
-    k, half = HIDDEN, _HALF.astype(h.dtype)
-    u, a = w["u"] * half, ((w["x"] + w["b"]) * half)[x] if len(w["x"]) < x.size else (w["x"][x] + w["b"]) * half
-    hs, gates, cand, gn = (np.empty((*x.shape, n), h.dtype) for n in (k, 2 * k, k, k))
-    for t in range(len(x)):
-        g = h @ u
-        z = gates[t]
-        np.add(a[t, :, : 2 * k], g[:, : 2 * k], out=z)
-        np.tanh(z, out=z)
-        z += 1
-        z *= 0.5
-        gn[t] = g[:, 2 * k :]
-        n = cand[t]
-        np.multiply(z[:, k:], gn[t], out=n)
-        n += a[t, :, 2 * k :]
-        np.tanh(n, out=n)
-        h = h - n
-        h *= z[:, :k]
-        h += n
-        hs[t] = h
-    return hs, gates, cand, gn
+def forward(w: Weights, x: np.ndarray, h: np.ndarray, keep: bool = True):
+    """States after each step of tokens x (steps x lanes), from state h (lanes x HIDDEN); what the gates leave, 1 - z and
+    1 - r; the candidate n, and the candidate's recurrent part. Update gate z, reset gate r: h' = z h + (1 - z) n.
+    What is returned is steps x features x lanes, so that each gate's numbers lie together. Without keep, only the
+    states are of all steps."""
+    k, (steps, lanes) = HIDDEN, x.shape
+    u, h = np.ascontiguousarray(w["u"].T), np.ascontiguousarray(h.T)
+    hs = np.empty((steps, k, lanes), h.dtype)
+    gates, cand, gs = (np.empty((steps if keep else 1, n, lanes), h.dtype) for n in (2 * k, k, 3 * k))
+    rows, own, bias = np.empty((lanes, 3 * k), h.dtype), np.empty((3 * k, lanes), h.dtype), w["b"][:, None]
+    with np.errstate(over="ignore"):  # 1 / (1 + inf) is the 0 that is meant
+        for t in range(steps):
+            at = t if keep else 0
+            g, q, n, after = gs[at], gates[at], cand[at], hs[t]
+            np.matmul(u, h, out=g)
+            np.take(w["x"], x[t], axis=0, out=rows, mode="clip")
+            np.add(rows.T, bias, out=own)
+            np.add(own[: 2 * k], g[: 2 * k], out=q)
+            np.exp(q, out=q)
+            q += 1
+            np.reciprocal(q, out=q)
+            np.multiply(q[k:], g[2 * k :], out=n)
+            np.subtract(g[2 * k :], n, out=n)
+            n += own[2 * k :]
+            np.tanh(n, out=n)
+            np.subtract(n, h, out=after)
+            after *= q[:k]
+            after += h
+            h = after
+    return hs, gates, cand, gs[:, 2 * k :]
 
 
 def backward(w: Weights, h0: np.ndarray, hs: np.ndarray, gates: np.ndarray, cand: np.ndarray, gn: np.ndarray, d_all: np.ndarray):
     """Gradients by input (steps x lanes x 3 HIDDEN) and by the recurrent weights, of what has gradient d_all by hs."""
     k = HIDDEN
-    before = np.concatenate((h0[None], hs[:-1]))
-    z, r = gates[..., :k], gates[..., k:]
-    by_n = (1 - z) * (1 - cand * cand)
-    by_z = (before - cand) * z * (1 - z)
-    by_r = gn * r * (1 - r)
-    da, dg = np.empty((*hs.shape[:2], 3 * k), hs.dtype), np.empty((*hs.shape[:2], 3 * k), hs.dtype)
-    dh, back = np.zeros_like(h0), np.ascontiguousarray(w["u"].T)
+    before = np.concatenate((h0.T[None], hs[:-1]))
+    left, z = gates[:, :k], 1 - gates[:, :k]
+    r = 1 - gates[:, k:]
+    by_n = left * (1 - cand * cand)
+    by_z = (before - cand) * z * left
+    by_r = gn * r * gates[:, k:]
+    dn, dg = np.empty_like(hs), np.empty((len(hs), 3 * k, hs.shape[2]), hs.dtype)
+    dh = np.zeros_like(hs[0])
     for t in range(len(hs) - 1, -1, -1):
-        dh = dh + d_all[t]
-        n = dh * by_n[t]
-        np.multiply(dh, by_z[t], out=dg[t, :, :k])
-        np.multiply(n, by_r[t], out=dg[t, :, k : 2 * k])
-        np.multiply(n, r[t], out=dg[t, :, 2 * k :])
-        da[t, :, 2 * k :] = n
+        dh += d_all[t]
+        n, d = dn[t], dg[t]
+        np.multiply(dh, by_n[t], out=n)
+        np.multiply(dh, by_z[t], out=d[:k])
+        np.multiply(n, by_r[t], out=d[k : 2 * k])
+        np.multiply(n, r[t], out=d[2 * k :])
         dh *= z[t]
-        dh += dg[t] @ back
-    da[..., : 2 * k] = dg[..., : 2 * k]
-    return da, before.reshape(-1, k).T @ dg.reshape(-1, 3 * k)
+        dh += w["u"] @ d
+    du = np.matmul(before, dg.transpose(0, 2, 1)).sum(0)
+    dg[:, 2 * k :] = dn
+    return np.ascontiguousarray(dg.transpose(0, 2, 1)), du
 
 
-def _softmax(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log-probability of column at[i] of each row; x becomes the probabilities. Logits stay far below 60 (steps are
-    clipped), so no maximum need be taken off."""
-    np.minimum(x, 60, out=x)
-    np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
-    return np.log(x[np.arange(len(x)), at])
+#: Logits are held at 60; they stay far below, as steps are clipped, so no maximum need be taken off.
+MOST = 60.0
+#: Rows whose logits are taken at once, which then stay in the cache.
+ROWS = 512
+
+
+def _wide(w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Weights, bias and 1 in each row. By rows of state, 1 and 0 one product gives logits; the exps of these by it give
+    their sums with the weights, for the gradient by the state, and their sums alone."""
+    out = np.ones((len(w), w.shape[1] + 2), w.dtype)
+    out[:, :-2], out[:, -2] = w, b
+    return out
 
 
 def output(w: Weights, v: Vocabulary, h: np.ndarray, target: np.ndarray, gradient: bool = False):
     """Natural log-probability of each target: that of its class, and within its class. With gradient also d/dh and
     the weights' gradients of the summed negative log-probability."""
-    order = np.argsort(target, kind="stable")  # classes are runs of ids
-    target, h = target[order], h[order]
-    cls = v.cls[target]
-    edges = np.searchsorted(cls, np.arange(v.n_cls + 1))
-    x = h @ w["c"]
-    x += w["cb"]
-    out = _softmax(x, cls).astype(np.float64)
-    if gradient:
-        x[np.arange(len(h)), cls] -= 1
-        grads = {"c": h.T @ x, "cb": x.sum(0), "w": np.zeros_like(w["w"]), "wb": np.zeros_like(w["wb"])}
-        dh = x @ w["c"].T
-    for c in np.flatnonzero((np.diff(edges) > 0) & (np.diff(v.starts) > 1)).tolist():
-        a, b, rows = v.starts[c], v.starts[c + 1], slice(edges[c], edges[c + 1])
-        own = h[rows]
-        x = own @ w["w"][a:b].T
-        x += w["wb"][a:b]
-        at = target[rows] - a
-        out[rows] += _softmax(x, at)
-        if gradient:
-            x[np.arange(len(x)), at] -= 1
-            grads["w"][a:b] = x.T @ own
-            grads["wb"][a:b] = x.sum(0)
-            dh[rows] += x @ w["w"][a:b]
+    with np.errstate(over="ignore", invalid="ignore"):
+        out, most = _output(w, v, h, target, gradient, False)
+        # sums below exp(MOST) show that no logit was above MOST
+        return out if most < np.exp(MOST) else _output(w, v, h, target, gradient, True)[0]
+
+
+def _output(w: Weights, v: Vocabulary, h: np.ndarray, target: np.ndarray, gradient: bool, hold: bool):
+    order = np.argsort(target.astype(np.min_scalar_type(v.m)), kind="stable")  # classes are runs of ids
+    target, k = target[order], h.shape[1]
+    own = np.zeros((len(h), k + 2), h.dtype)
+    own[:, :k], own[:, k] = h[order], 1
+    cls, sizes = v.cls[target], np.diff(v.starts)
+    edges = np.searchsorted(cls, np.arange(v.n_cls + 1)).tolist()
+    classes, words = _wide(w["c"].T, w["cb"]), _wide(w["w"], w["wb"])
+    by_class, by_word = np.zeros_like(classes), np.zeros_like(words)
+    buffer, share = np.empty(ROWS * max(v.n_cls, sizes.max()), h.dtype), np.empty((ROWS, k + 2), h.dtype)
+    row = np.arange(len(h))
+
+    def logits(wide, grads, rows, at, sums):
+        """Of some rows: exps' sums, with the weights if gradients are wanted, which are added to grads."""
+        n, part = rows.stop - rows.start, own[rows]
+        x = buffer[: n * len(wide)].reshape(n, len(wide))
+        np.matmul(part, wide.T, out=x)
+        if hold:
+            np.minimum(x, MOST, out=x)
+        np.exp(x, out=x)
+        if not gradient:
+            np.matmul(x, wide[:, -1], out=sums[rows, -1])
+            return
+        np.matmul(x, wide, out=sums[rows])
+        total = sums[rows, -1:]
+        x.ravel()[row[:n] * len(wide) + at[rows]] -= total[:, 0]
+        grads += x.T @ np.divide(part, total, out=share[:n])
+
+    def finished(wide, at, sums):
+        """Log-probabilities, and gradients by the state."""
+        mine = wide[at]
+        picked = np.einsum("ij,ij->i", own, mine)
+        if hold:
+            np.minimum(picked, MOST, out=picked)
+        out = picked.astype(np.float64) - np.log(sums[:, -1])
+        return out, sums[:, :k] / sums[:, -1:] - mine[:, :k] if gradient else None
+
+    sums = np.empty_like(own)
+    for a in range(0, len(h), ROWS):
+        logits(classes, by_class, slice(a, min(a + ROWS, len(h))), cls, sums)
+    most = sums[:, -1].max(initial=0)
+    out, dh = finished(classes, cls, sums)
+    within = (target - v.starts[cls]).astype(np.int64)
+    several = sizes > 1  # a target alone in its class has all of it
+    for c in np.flatnonzero(several).tolist():
+        a, b = v.starts[c], v.starts[c + 1]
+        for i in range(edges[c], edges[c + 1], ROWS):
+            logits(words[a:b], by_word[a:b], slice(i, min(i + ROWS, edges[c + 1])), within, sums)
+    most = max(most, sums[several[cls], -1].max(initial=0))
+    more, by_h = finished(words, target, sums)
+    real = several[cls]
+    out[real] += more[real]
     back = np.empty(len(out))
     back[order] = out
     if not gradient:
-        return back
-    by_h = np.empty_like(dh)
+        return back, most
+    dh[real] += by_h[real]
     by_h[order] = dh
-    return back, by_h, grads
+    grads = {"c": by_class[:, :k].T.copy(), "cb": by_class[:, k].copy(), "w": by_word[:, :k].copy(), "wb": by_word[:, k].copy()}
+    return (back, by_h, grads), most
 
 
 class _Lanes:
-    """Token sequences fed side by side: a lane that ends takes the next sequence at the next window."""
+    """Token sequences fed side by side: a lane that ends takes the next sequence, longest first, at the next window."""
 
     def __init__(self, sequences: list[np.ndarray], lanes: int, steps: int) -> None:
-        self.left = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))[::-1]
-        self.sequences, self.steps = sequences, steps
-        self.who = np.full(min(lanes, len(sequences)), -1)
-        self.at = np.zeros(len(self.who), int)
+        self.sizes = np.array([len(s) for s in sequences], np.int64)
+        self.flat = np.concatenate(sequences) if sequences else np.zeros(0, np.int32)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.order = np.argsort(-self.sizes, kind="stable")
+        self.lanes, self.steps = min(lanes, len(sequences)), steps
 
     def __iter__(self):
         """(sequence of each lane, is it new, tokens read and targets as steps x lanes, which are real)"""
-        lanes = len(self.who)
+        who, at, left = np.full(self.lanes, -1), np.zeros(self.lanes, np.int64), np.zeros(self.lanes, np.int64)
+        taken = 0
         while True:
-            new = np.zeros(lanes, bool)
-            for i in range(lanes):
-                if self.who[i] >= 0 and self.at[i] >= len(self.sequences[self.who[i]]) - 1:
-                    self.who[i] = -1
-                if self.who[i] < 0 and self.left:
-                    self.who[i], self.at[i], new[i] = self.left.pop(), 0, True
-            live = np.flatnonzero(self.who >= 0)
+            who[left <= 0] = -1
+            free = np.flatnonzero(who < 0)[: len(self.order) - taken]
+            who[free] = self.order[taken : taken + len(free)]
+            at[free], left[free] = self.first[who[free]], self.sizes[who[free]] - 1
+            taken += len(free)
+            new = np.zeros(self.lanes, bool)
+            new[free] = True
+            live = np.flatnonzero(who >= 0)
             if not len(live):
                 return
-            steps = int(min(self.steps, max(len(self.sequences[self.who[i]]) - 1 - self.at[i] for i in live)))
-            x, y, real = np.zeros((steps, len(live)), np.int64), np.zeros((steps, len(live)), np.int64), np.zeros((steps, len(live)), bool)
-            for j, i in enumerate(live):
-                part = self.sequences[self.who[i]][self.at[i] : self.at[i] + steps + 1]
-                n = len(part) - 1
-                x[:n, j], y[:n, j], real[:n, j] = part[:-1], part[1:], True
-                self.at[i] += n
-            yield live, self.who[live], new[live], x, y, real
+            steps = int(min(self.steps, left[live].max()))
+            step = np.arange(steps)[:, None]
+            real = step < left[live]
+            place = np.where(real, at[live] + step, 0)
+            x, y = (np.where(real, self.flat[place + i], 0).astype(np.int64) for i in (0, 1))
+            at[live] += steps
+            left[live] -= steps
+            yield live, who[live], new[live], x, y, real
 
 
 def score_all(w: Weights, v: Vocabulary, sequences: list[np.ndarray]) -> np.ndarray:
@@ -294,10 +343,10 @@ def score_all(w: Weights, v: Vocabulary, sequences: list[np.ndarray]) -> np.ndar
     state = np.zeros((min(SCORE_LANES, len(sequences)), HIDDEN), np.float32)
     for live, who, new, x, y, real in _Lanes(sequences, SCORE_LANES, SCORE_STEPS):
         state[live[new]] = 0
-        hs = forward(w, x, state[live])[0]
+        hs = np.ascontiguousarray(forward(w, x, state[live], keep=False)[0].transpose(0, 2, 1))
         state[live] = hs[-1]
-        lp = np.zeros(x.shape)
-        lp[real] = output(w, v, hs[real], y[real])
+        lp, place = np.zeros(x.shape), np.flatnonzero(real)
+        lp.ravel()[place] = output(w, v, hs.reshape(-1, HIDDEN)[place], y.ravel()[place])
         np.add.at(out, who, lp.sum(0))
     return out
 
@@ -306,12 +355,13 @@ def window_gradients(w: Weights, v: Vocabulary, h0: np.ndarray, x: np.ndarray, y
     """(states, summed log-probability of the real targets, gradients of its negative): those of the inputs as rows,
     one for each real token."""
     hs, *kept = forward(w, x, h0)
-    out, dh, grads = output(w, v, hs[real], y[real], gradient=True)
-    d_all = np.zeros_like(hs)
-    d_all[real] = dh
-    da, grads["u"] = backward(w, h0, hs, *kept, d_all)
-    flat = da[real]
-    return hs, out.sum(), grads | {"b": flat.sum(0)}, flat
+    by_lane, place = np.ascontiguousarray(hs.transpose(0, 2, 1)), np.flatnonzero(real)
+    out, dh, grads = output(w, v, by_lane.reshape(-1, HIDDEN)[place], y.ravel()[place], gradient=True)
+    d_all = np.zeros_like(by_lane)
+    d_all.reshape(-1, HIDDEN)[place] = dh
+    da, grads["u"] = backward(w, h0, hs, *kept, np.ascontiguousarray(d_all.transpose(0, 2, 1)))
+    flat = da.reshape(-1, 3 * HIDDEN)[place]
+    return by_lane, out.sum(), grads | {"b": flat.sum(0)}, flat
 
 
 def train(w: Weights, v: Vocabulary, sequences: list[np.ndarray], rate: float | None = None) -> tuple[Weights, int]:
@@ -324,8 +374,10 @@ def train(w: Weights, v: Vocabulary, sequences: list[np.ndarray], rate: float |
     def follow(name, g, at=slice(None)):
         g *= 20 / n
         np.clip(g, -1, 1, out=g)
-        squares[name][at] += g * g
-        g /= np.sqrt(squares[name][at])
+        s = squares[name][at]  # a view of all, or a copy of some rows
+        s += g * g
+        squares[name][at] = s
+        g /= np.sqrt(s)
         g *= rate
         w[name][at] -= g
 
@@ -335,9 +387,11 @@ def train(w: Weights, v: Vocabulary, sequences: list[np.ndarray], rate: float |
         state[live] = hs[-1]
         n = int(real.sum())
         seen += n
-        tokens = x[real]
+        tokens = x[real].astype(np.min_scalar_type(v.m))
         order = np.argsort(tokens, kind="stable")
-        ids, first = np.unique(tokens[order], return_index=True)
+        tokens = tokens[order]
+        first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+        ids = tokens[first]
         for name, g in grads.items():
             follow(name, g)
         follow("x", np.add.reduceat(flat[order], first, axis=0), ids)

@@ -640,6 +640,32 @@ def test_lm_gradients():
     assert dh.shape == h.shape
 
 
+def test_lm_scoring_keeps_states_only():
+    """Scoring takes the states that training takes, without the gates of all steps, which cost it memory and time."""
+    v = lm_scoring.Vocabulary([(b"a", 50), (b"b", 20), (b"", 10), (b"c", 1)], 90, 9)
+    rng = np.random.default_rng(4)
+    w = lm_scoring.start_weights(v)
+    x, h0 = rng.integers(0, v.m + 1, (9, 5)), rng.standard_normal((5, lm_scoring.HIDDEN)).astype(np.float32)
+    whole, lean = lm_scoring.forward(w, x, h0), lm_scoring.forward(w, x, h0, keep=False)
+    assert np.array_equal(whole[0], lean[0]) and [len(part) for part in lean] == [9, 1, 1, 1]
+
+
+def test_lm_holds_large_logits():
+    """Logits over MOST count as MOST, also those whose exps overflow, with finite gradients."""
+    v = lm_scoring.Vocabulary([(b"a", 50), (b"b", 20), (b"", 10), (b"c", 1)], 90, 9)
+    w = lm_scoring.start_weights(v)
+    w["cb"][0], w["wb"][1] = 70, 200
+    got, dh, grads = lm_scoring.output(w, v, np.zeros((5, lm_scoring.HIDDEN), np.float32), np.arange(5), gradient=True)
+    log = lambda x, at: np.minimum(x, 60)[at] - np.log(np.exp(np.minimum(x, 60)).sum())
+    want = []
+    for t in range(5):
+        c = v.cls[t]
+        own = slice(v.starts[c], v.starts[c + 1])
+        want.append(log(w["cb"].astype(float), c) + log(w["wb"][own].astype(float), t - v.starts[c]))
+    assert np.allclose(got, want, rtol=1e-5, atol=1e-5)
+    assert np.isfinite(dh).all() and all(np.isfinite(g).all() for g in grads.values())
+
+
 def test_warc(spark):
     page = '<html><head><title>T &amp; t</title><script>var x="</p>";</script></head><body><!-- c --><p>One <b>two</b><br>three</p><a href="/l">x &lt; y</a> 1 < 2'
     pages = spark.createDataFrame([(1, "http://e.org/", page), (2, None, None), (1, "http://e.org/", page)], "page_id long, url string, html string")
