@@ -75,3 +75,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+#: Files that checkpoint_few writes at most for each core of the cluster.
+FILES_A_CORE = 8
+
+
+def checkpoint_few(df: DataFrame) -> DataFrame:
+    """As checkpoint, by FILES_A_CORE tasks a core at most, each taking some partitions one after another.
+
+    Without Hadoop's native library a local file system starts a process (chmod) for each file and each of its checksums.
+    Until that process runs its program, it is counted with all the memory of the executor that started it."""
+    return checkpoint(df.coalesce(FILES_A_CORE * df.sparkSession.sparkContext.defaultParallelism))

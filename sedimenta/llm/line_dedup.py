@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import all_columns, batch_of, byte_column, checkpoint, in_slices, quoted
+from .common import all_columns, batch_of, byte_column, checkpoint_few, in_slices, quoted
 
 #: Shorter runs of lines find no partner, and shorter aligned blocks stay: what is that short is common by chance.
 MIN_WORDS = 8
@@ -139,8 +139,8 @@ def deletions(table: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("runs", pa.list_(pa.binary()))])
     each = table.select("k", "h", "lines", "words").mapInArrow(held, "k bigint, h bigint, runs array<binary>").select("k", "h", F.explode("runs").alias("line"))
     first = each.groupBy("line").agg(F.min(F.struct("k", "h")).alias("first"), F.count("*").alias("df")).where("df > 1").select("line", F.col("first.k").alias("fk"), F.col("first.h").alias("fh"))
-    first = checkpoint(first)  # read again, it is shuffled like the other side, so the skew join can split a line
-    shared = checkpoint(each.join(first, "line").select("line", "k", "h", "fk", "fh"))
+    first = checkpoint_few(first)  # read again, it is shuffled like the other side, so the skew join can split a line
+    shared = checkpoint_few(each.join(first, "line").select("line", "k", "h", "fk", "fh"))
     earlier = table.select(F.col("k").alias("fk"), F.col("h").alias("fh"), F.col("lines").alias("other"))
     schema = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("gone", pa.binary()), ("open", pa.list_(pa.binary()))])
 
@@ -176,7 +176,7 @@ def deletions(table: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         seeded = pairs.groupBy("k", "h", "fk", "fh").agg(F.collect_list("line").alias("seeds"))
         own = table.join(done[-1].select("k", "h", F.col("gone").alias("before")), ["k", "h"]) if done else table.withColumn("before", F.lit(None).cast("binary"))
         both = seeded.join(earlier, ["fk", "fh"]).join(own, ["k", "h"]).select("k", "h", "n", "at", "words", "lines", "before", "seeds", "other")
-        found = checkpoint(both.repartition("k", "h").sortWithinPartitions("k", "h").mapInArrow(run, "k bigint, h bigint, gone binary, open array<binary>").withColumn("number", F.lit(number)))
+        found = checkpoint_few(both.repartition("k", "h").sortWithinPartitions("k", "h").mapInArrow(run, "k bigint, h bigint, gone binary, open array<binary>").withColumn("number", F.lit(number)))
         done.append(found)
         left = found.select("k", "h", F.explode("open").alias("line"))
         last = left.groupBy("line").agg(F.max("k").alias("last"))
@@ -188,8 +188,8 @@ def deletions(table: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         ranked = salted.join(parts, ["line", "salt"]).where("k < last").select("line", F.col("k").alias("fk"), F.col("h").alias("fh"), "salt")
         for keys in (("line", "salt"), ("line",)):
             ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("fk", "fh"))).where(F.col("place") <= 2 * low)
-        holders = checkpoint(ranked.where(F.col("place") > low).select("line", "fk", "fh"))
-        pairs = checkpoint(left.join(holders, "line").where("k > fk").select("line", "k", "h", "fk", "fh"))
+        holders = checkpoint_few(ranked.where(F.col("place") > low).select("line", "fk", "fh"))
+        pairs = checkpoint_few(left.join(holders, "line").where("k > fk").select("line", "k", "h", "fk", "fh"))
         if pairs.isEmpty():
             break
     every = done[0]
@@ -203,7 +203,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The later document is that of larger id, null last. Rows repeated in id (and rows of one id with different texts)
     don't delete each other's lines. A null text stays null, an empty table empty; all other columns stay as they are."""
-    gone = deletions(checkpoint(line_table(docs, id_col, text_col).dropDuplicates(["k", "h"])), min_words).select(F.col("k").alias("__llm_k"), F.col("h").alias("__llm_h"), F.col("gone").alias("__llm_gone"))
+    gone = deletions(checkpoint_few(line_table(docs, id_col, text_col).dropDuplicates(["k", "h"])), min_words).select(F.col("k").alias("__llm_k"), F.col("h").alias("__llm_h"), F.col("gone").alias("__llm_gone"))
     marked = docs.withColumn("__llm_own_k", F.coalesce(F.col(quoted(id_col)), F.lit(LAST))).withColumn("__llm_own_h", F.xxhash64(F.coalesce(F.col(quoted(text_col)), F.lit(""))))
     joined = marked.join(gone, (F.col("__llm_own_k") == F.col("__llm_k")) & (F.col("__llm_own_h") == F.col("__llm_h")), "left")
     lines = F.split(F.col(quoted(text_col)), "\n", -1)
