@@ -5,6 +5,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import regex
@@ -171,14 +174,28 @@ class Bpe:
         return self.decode_runs([ids]) if ids else ""
 
 
+#: Seconds without a task after which a worker, which Spark keeps for tasks of any kind, forgets tokenizer and words.
+IDLE_S = 5.0
 _loaded: dict[int, Bpe] = {}
+_idle: list[threading.Timer] = []
 
 
-def _tokenizer(shared) -> Bpe:
-    if shared.value[0] not in _loaded:
+@contextmanager
+def _tokenizer(shared) -> Iterator[Bpe]:
+    """The worker's tokenizer with the words that it remembers; tasks that follow soon find both again."""
+    while _idle:
+        _idle.pop().cancel()
+    bpe = _loaded.get(shared.value[0])  # held here, as a timer may go off just now
+    if bpe is None:
         _loaded.clear()
-        _loaded[shared.value[0]] = Bpe(shared.value[1])
-    return _loaded[shared.value[0]]
+        bpe = _loaded[shared.value[0]] = Bpe(shared.value[1])
+    try:
+        yield bpe
+    finally:
+        timer = threading.Timer(IDLE_S, _loaded.clear)
+        timer.daemon = True
+        timer.start()
+        _idle.append(timer)
 
 
 def _shared(docs: DataFrame, tokenizer_path: str):
@@ -196,11 +213,11 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches):
-        bpe = _tokenizer(shared)
-        for batch in batches:
-            for part in in_slices(batch):
-                ids = [[int(x) for x in e.split(",")] if (e := bpe.encode(t)) else [] for t in part.column(1).to_pylist()]
-                yield batch_of(schema, [part.column(0), ids])
+        with _tokenizer(shared) as bpe:
+            for batch in batches:
+                for part in in_slices(batch):
+                    ids = [[int(x) for x in e.split(",")] if (e := bpe.encode(t)) else [] for t in part.column(1).to_pylist()]
+                    yield batch_of(schema, [part.column(0), ids])
 
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, ids array<int>")
 
@@ -214,14 +231,14 @@ def digest_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches):
-        bpe = _tokenizer(shared)
-        for batch in batches:
-            for part in in_slices(batch):
-                rows = []
-                for text in part.column(1).to_pylist():
-                    runs = bpe.encode_runs(text)
-                    ids = ",".join(runs)
-                    rows.append((ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(bpe.decode_runs(runs).encode()).hexdigest()))
-                yield batch_of(schema, [part.column(0), *(list(c) for c in zip(*rows))] if rows else [[], [], [], []])
+        with _tokenizer(shared) as bpe:
+            for batch in batches:
+                for part in in_slices(batch):
+                    rows = []
+                    for text in part.column(1).to_pylist():
+                        runs = bpe.encode_runs(text)
+                        ids = ",".join(runs)
+                        rows.append((ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(bpe.decode_runs(runs).encode()).hexdigest()))
+                    yield batch_of(schema, [part.column(0), *(list(c) for c in zip(*rows))] if rows else [[], [], [], []])
 
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
